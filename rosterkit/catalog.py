@@ -180,7 +180,7 @@ def q_underpopulated_collaborations(spark, sf):
 
 @query("underlabelled_collaborations")
 def q_underlabelled_collaborations(spark, sf):
-    t = _t(spark, sf, raw_links=True)
+    t = _t(spark, sf)
     return remove.purge_underlabelled(t, links=t["RLC_raw"]).reports["purged"]
 
 
@@ -445,7 +445,7 @@ def q_qc_salary(spark, sf):
 
 @query("qc_self_link")
 def q_qc_self_link(spark, sf):
-    return quality.check_violations(_t(spark, sf, raw_links=True)["RLC_raw"],
+    return quality.check_violations(_t(spark, sf)["RLC_raw"],
                                     "RecordLabel_RecordLabelID1 <> RecordLabel_RecordLabelID2")
 
 

@@ -47,6 +47,9 @@ def union_all(frames: list[DataFrame]) -> DataFrame:
 
 
 def with_tables(t: Tables, **changed: DataFrame) -> Tables:
+    """A new table map with some tables replaced; the others are shared."""
+    if hasattr(t, "replace"):
+        return t.replace(**changed)
     out = dict(t)
     out.update(changed)
     return out

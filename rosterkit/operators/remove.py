@@ -62,13 +62,12 @@ def delete_closure(t: Tables, deletes: dict[str, DataFrame]) -> tuple[Tables, di
             F.concat_ws(",", *[F.col(c).cast("string") for c in fk.columns]).alias("key"),
             F.lit(fk.child).alias("child")))
 
-    new_t = dict(t)
-    for table, keys in deleted.items():
-        new_t[table] = t[table].join(keys, pk(table), "left_anti")
+    new_t = with_tables(t, **{table: t[table].join(keys, pk(table), "left_anti")
+                              for table, keys in deleted.items()})
     if blocked:
         blocked_df = union_all(blocked)
     else:
-        blocked_df = next(iter(t.values())).sparkSession.createDataFrame(
+        blocked_df = next(iter(deletes.values())).sparkSession.createDataFrame(
             [], "table STRING, key STRING, child STRING")
     return new_t, deleted, blocked_df
 

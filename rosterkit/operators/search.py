@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import contains_ci, where_all
 from . import views
+from .changes import with_tables
 
 Tables = dict[str, DataFrame]
 
@@ -58,9 +59,8 @@ def search_employees(t: Tables, *, nif=None, name=None, job_title=None, departme
 
 def _restrict(t: Tables, table: str, keys: DataFrame, key_col: str, on: str) -> Tables:
     """Copy of ``t`` with ``table`` reduced to rows whose ``on`` is in ``keys``."""
-    out = dict(t)
-    out[table] = t[table].join(keys.select(F.col(key_col).alias(on)).distinct(), on, "left_semi")
-    return out
+    return with_tables(t, **{table: t[table].join(
+        keys.select(F.col(key_col).alias(on)).distinct(), on, "left_semi")})
 
 
 def search_songs(t: Tables, *, title=None, min_duration=None, max_duration=None,
@@ -83,8 +83,7 @@ def search_songs(t: Tables, *, title=None, min_duration=None, max_duration=None,
             songs = songs.join(t["Song_Genre"].where(F.col("Genre") == genre_exact)
                                .select(F.col("Song_SongID").alias("SongID")).distinct(),
                                "SongID", "left_semi")
-        t = dict(t)
-        t["Song"] = songs
+        t = with_tables(t, Song=songs)
         t = _restrict(t, "Song_Genre", songs, "SongID", "Song_SongID")
         t = _restrict(t, "Contributor_Song", songs, "SongID", "Song_SongID")
         t = _restrict(t, "Collaboration", songs, "SongID", "Song_SongID")
@@ -119,8 +118,7 @@ def search_collaborations(t: Tables, *, name=None, start=None, end=None, song=No
             None if end is None else F.col("EndDate") == F.lit(_as_date(end))]
     if any(p is not None for p in base):
         k = where_all(t["Collaboration"], base)
-        t = dict(t)
-        t["Collaboration"] = k
+        t = with_tables(t, Collaboration=k)
         t = _restrict(t, "RecordLabel_Collaboration", k, "CollaborationID",
                       "Collaboration_CollaborationID")
         t = _restrict(t, "Collaboration_Contributor", k, "CollaborationID",

@@ -16,13 +16,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import padded_key
+from .lazy import LazyTables
 from .schema import SCHEMAS
 
 DRIVER_TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem")
 
 
-def read_driver(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    return {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in DRIVER_TABLES}
+def read_driver(spark: SparkSession, sf_dir: str) -> LazyTables:
+    """The driver tables, each read (footer, schema) on first use; kept per session."""
+    memo = spark.__dict__.setdefault("_rosterkit_driver", {})
+    if sf_dir not in memo:
+        memo[sf_dir] = LazyTables({t: (lambda t=t: spark.read.parquet(f"{sf_dir}/{t}.parquet"))
+                                   for t in DRIVER_TABLES})
+    return memo[sf_dir]
 
 
 def _days(start: str, col) -> F.Column:
@@ -33,124 +39,145 @@ def nif_of(col) -> F.Column:
     return padded_key("P", col)
 
 
-def star_tables(spark: SparkSession, sf_dir: str, *, raw_links: bool = False) -> dict[str, DataFrame]:
-    """The roster tables over the driver tables of ``sf_dir``.
+def star_tables(spark: SparkSession, sf_dir: str, *, raw_links: bool = False,
+                fresh: bool = False) -> LazyTables:
+    """The roster tables over the driver tables of ``sf_dir`` (built on first use).
 
-    With ``raw_links=True`` the dict also holds ``RLC_raw``: label links
-    before the ID1 <> ID2 check, the input of the self-link checks.
+    With ``raw_links=True`` the map also holds ``RLC_raw``: label links
+    before the ID1 <> ID2 check, the input of the self-link checks.  The
+    map is kept per session and folder, so later queries reuse the built
+    plans (only plans: every query still reads and computes its data);
+    ``fresh=True`` builds a new one.
     """
+    memo = spark.__dict__.setdefault("_rosterkit_star", {})
+    if not fresh and sf_dir in memo:
+        return memo[sf_dir]
     d = read_driver(spark, sf_dir)
-    nation, region, customer = d["nation"], d["region"], d["customer"]
-    supplier, part, orders, lineitem = d["supplier"], d["part"], d["orders"], d["lineitem"]
-
-    record_label = nation.join(region, nation.n_regionkey == region.r_regionkey).select(
-        F.col("n_nationkey").alias("RecordLabelID"),
-        F.col("n_name").alias("Name"),
-        F.col("r_name").alias("Location"),
-        F.concat(F.lit("https://"), F.lower("n_name"), F.lit(".example")).alias("Website"),
-        F.concat(F.lit("info@"), F.lower("n_name"), F.lit(".example")).alias("Email"),
-        padded_key("+44-", F.col("n_nationkey")).alias("PhoneNumber"))
+    t: LazyTables
+
+    def record_label():
+        nation, region = d["nation"], d["region"]
+        return nation.join(region, nation.n_regionkey == region.r_regionkey).select(
+            F.col("n_nationkey").alias("RecordLabelID"),
+            F.col("n_name").alias("Name"),
+            F.col("r_name").alias("Location"),
+            F.concat(F.lit("https://"), F.lower("n_name"), F.lit(".example")).alias("Website"),
+            F.concat(F.lit("info@"), F.lower("n_name"), F.lit(".example")).alias("Email"),
+            padded_key("+44-", F.col("n_nationkey")).alias("PhoneNumber"))
 
     ck = F.col("c_custkey")
-    person = customer.select(
-        nif_of(ck).alias("NIF"),
-        F.col("c_name").alias("Name"),
-        _days("1960-01-01", ck % 12000).alias("DateOfBirth"),
-        F.when(ck % 7 != 0, F.concat(F.lower(F.replace("c_name", F.lit("#"), F.lit("."))),
-                                     F.lit("@example.com"))).alias("Email"),
-        F.when(ck % 11 != 0, padded_key("+1-555-", ck)).alias("PhoneNumber"))
+
+    def person():
+        return d["customer"].select(
+            nif_of(ck).alias("NIF"),
+            F.col("c_name").alias("Name"),
+            _days("1960-01-01", ck % 12000).alias("DateOfBirth"),
+            F.when(ck % 7 != 0, F.concat(F.lower(F.replace("c_name", F.lit("#"), F.lit("."))),
+                                         F.lit("@example.com"))).alias("Email"),
+            F.when(ck % 11 != 0, padded_key("+1-555-", ck)).alias("PhoneNumber"))
 
     sk = F.col("s_suppkey")
-    contributor = supplier.select(sk.alias("ContributorID"), nif_of(sk).alias("Person_NIF"))
-
-    employee = customer.where(ck % 2 == 0).select(
-        ck.alias("EmployeeID"),
-        F.when(ck % 6 == 0, "Engineer").when(ck % 6 == 2, "Manager").otherwise("Analyst")
-        .alias("JobTitle"),
-        F.col("c_mktsegment").alias("Department"),
-        F.when(F.col("c_acctbal") < 0, F.lit(0.0)).otherwise(F.col("c_acctbal"))
-        .cast("decimal(10,2)").alias("Salary"),
-        _days("2015-01-01", ck % 3000).alias("HireDate"),
-        F.col("c_nationkey").alias("RecordLabel_RecordLabelID"),
-        nif_of(ck).alias("Person_NIF"))
-
-    song = part.select(
-        F.col("p_partkey").alias("SongID"),
-        F.col("p_name").alias("Title"),
-        (F.col("p_size") * 10).alias("Duration"),
-        F.when(F.col("p_size") % 9 != 0, _days("2015-01-01", F.col("p_size"))).alias("ReleaseDate"))
-
-    song_genre = part.where(F.col("p_size") <= 40).select(
-        F.col("p_partkey").alias("Song_SongID"), F.col("p_type").alias("Genre")).unionAll(
-        part.where(F.col("p_size") <= 25).select(
-            F.col("p_partkey").alias("Song_SongID"), F.col("p_brand").alias("Genre")))
-
-    contributor_song = (
-        lineitem.where((F.col("l_returnflag") == "R") & (F.col("l_quantity") > 45))
-        .groupBy(F.col("l_suppkey").alias("Contributor_ContributorID"),
-                 F.col("l_partkey").alias("Song_SongID"))
-        .agg(F.min("l_shipdate").cast("date").alias("Date")))
-
-    first_part = lineitem.groupBy("l_orderkey").agg(F.min("l_partkey").alias("Song_SongID"))
-    start = F.col("o_orderdate").cast("date")
-    collaboration = orders.join(first_part, orders.o_orderkey == first_part.l_orderkey, "left").select(
-        F.col("o_orderkey").alias("CollaborationID"),
-        F.concat(F.lit("Collab "), F.col("o_orderpriority"), F.lit(" "),
-                 F.col("o_orderkey").cast("string")).alias("CollaborationName"),
-        start.alias("StartDate"),
-        F.when(F.col("o_orderstatus") == "F", F.date_add(start, 30)).alias("EndDate"),
-        F.when(F.col("o_orderpriority") != "3-MEDIUM", F.col("o_orderpriority")).alias("Description"),
-        F.col("Song_SongID"))
-
-    collaboration_contributor = lineitem.select(
-        F.col("l_orderkey").alias("Collaboration_CollaborationID"),
-        F.col("l_suppkey").alias("Contributor_ContributorID")).distinct()
-
-    rlc_raw = (
-        lineitem.select("l_orderkey", "l_suppkey")
-        .join(orders.select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
-        .join(customer.select("c_custkey", "c_nationkey"), F.col("o_custkey") == F.col("c_custkey"))
-        .join(supplier.select("s_suppkey", "s_nationkey"), F.col("l_suppkey") == F.col("s_suppkey"))
-        .select(F.col("c_nationkey").alias("RecordLabel_RecordLabelID1"),
-                F.col("s_nationkey").alias("RecordLabel_RecordLabelID2"),
-                F.col("o_orderkey").alias("Collaboration_CollaborationID"))
-        .distinct())
-    record_label_collaboration = rlc_raw.where(
-        F.col("RecordLabel_RecordLabelID1") != F.col("RecordLabel_RecordLabelID2"))
-
-    artist = supplier.where(sk % 2 == 0).select(
-        sk.alias("Contributor_ContributorID"),
-        F.concat(F.lit("Artist_"), sk.cast("string")).alias("StageName"))
-    producer = supplier.where(sk % 3 == 0).select(sk.alias("Contributor_ContributorID"))
-    songwriter = supplier.where(sk % 5 == 0).select(sk.alias("Contributor_ContributorID"))
-
-    # Genres an artist has sung in: the genres of the songs linked to them.
-    artist_genre = (
-        contributor_song.join(artist.select("Contributor_ContributorID"), "Contributor_ContributorID",
-                              "left_semi")
-        .join(song_genre, "Song_SongID")
-        .select(F.col("Contributor_ContributorID").alias("Artist_ContributorID"), "Genre")
-        .distinct())
-
-    t = {
-        "RecordLabel": record_label,
-        "Person": person,
-        "Song": song,
-        "Contributor": contributor,
-        "Songwriter": songwriter,
-        "Producer": producer,
-        "Artist": artist,
-        "Collaboration": collaboration,
-        "Collaboration_Contributor": collaboration_contributor,
-        "Contributor_Song": contributor_song,
-        "Song_Genre": song_genre,
-        "Artist_Genre": artist_genre,
-        "RecordLabel_Collaboration": record_label_collaboration,
-        "Employee": employee,
+
+    def contributor():
+        return d["supplier"].select(sk.alias("ContributorID"), nif_of(sk).alias("Person_NIF"))
+
+    def employee():
+        return d["customer"].where(ck % 2 == 0).select(
+            ck.alias("EmployeeID"),
+            F.when(ck % 6 == 0, "Engineer").when(ck % 6 == 2, "Manager").otherwise("Analyst")
+            .alias("JobTitle"),
+            F.col("c_mktsegment").alias("Department"),
+            F.when(F.col("c_acctbal") < 0, F.lit(0.0)).otherwise(F.col("c_acctbal"))
+            .cast("decimal(10,2)").alias("Salary"),
+            _days("2015-01-01", ck % 3000).alias("HireDate"),
+            F.col("c_nationkey").alias("RecordLabel_RecordLabelID"),
+            nif_of(ck).alias("Person_NIF"))
+
+    def song():
+        return d["part"].select(
+            F.col("p_partkey").alias("SongID"),
+            F.col("p_name").alias("Title"),
+            (F.col("p_size") * 10).alias("Duration"),
+            F.when(F.col("p_size") % 9 != 0, _days("2015-01-01", F.col("p_size"))).alias("ReleaseDate"))
+
+    def song_genre():
+        part = d["part"]
+        return part.where(F.col("p_size") <= 40).select(
+            F.col("p_partkey").alias("Song_SongID"), F.col("p_type").alias("Genre")).unionAll(
+            part.where(F.col("p_size") <= 25).select(
+                F.col("p_partkey").alias("Song_SongID"), F.col("p_brand").alias("Genre")))
+
+    def contributor_song():
+        return (d["lineitem"].where((F.col("l_returnflag") == "R") & (F.col("l_quantity") > 45))
+                .groupBy(F.col("l_suppkey").alias("Contributor_ContributorID"),
+                         F.col("l_partkey").alias("Song_SongID"))
+                .agg(F.min("l_shipdate").cast("date").alias("Date")))
+
+    def collaboration():
+        orders = d["orders"]
+        first_part = d["lineitem"].groupBy("l_orderkey").agg(F.min("l_partkey").alias("Song_SongID"))
+        start = F.col("o_orderdate").cast("date")
+        return orders.join(first_part, orders.o_orderkey == first_part.l_orderkey, "left").select(
+            F.col("o_orderkey").alias("CollaborationID"),
+            F.concat(F.lit("Collab "), F.col("o_orderpriority"), F.lit(" "),
+                     F.col("o_orderkey").cast("string")).alias("CollaborationName"),
+            start.alias("StartDate"),
+            F.when(F.col("o_orderstatus") == "F", F.date_add(start, 30)).alias("EndDate"),
+            F.when(F.col("o_orderpriority") != "3-MEDIUM", F.col("o_orderpriority")).alias("Description"),
+            F.col("Song_SongID"))
+
+    def collaboration_contributor():
+        return d["lineitem"].select(
+            F.col("l_orderkey").alias("Collaboration_CollaborationID"),
+            F.col("l_suppkey").alias("Contributor_ContributorID")).distinct()
+
+    def rlc_raw():
+        return (
+            d["lineitem"].select("l_orderkey", "l_suppkey")
+            .join(d["orders"].select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
+            .join(d["customer"].select("c_custkey", "c_nationkey"),
+                  F.col("o_custkey") == F.col("c_custkey"))
+            .join(d["supplier"].select("s_suppkey", "s_nationkey"),
+                  F.col("l_suppkey") == F.col("s_suppkey"))
+            .select(F.col("c_nationkey").alias("RecordLabel_RecordLabelID1"),
+                    F.col("s_nationkey").alias("RecordLabel_RecordLabelID2"),
+                    F.col("o_orderkey").alias("Collaboration_CollaborationID"))
+            .distinct())
+
+    def record_label_collaboration():
+        return t["RLC_raw"].where(
+            F.col("RecordLabel_RecordLabelID1") != F.col("RecordLabel_RecordLabelID2"))
+
+    def artist():
+        return d["supplier"].where(sk % 2 == 0).select(
+            sk.alias("Contributor_ContributorID"),
+            F.concat(F.lit("Artist_"), sk.cast("string")).alias("StageName"))
+
+    def producer():
+        return d["supplier"].where(sk % 3 == 0).select(sk.alias("Contributor_ContributorID"))
+
+    def songwriter():
+        return d["supplier"].where(sk % 5 == 0).select(sk.alias("Contributor_ContributorID"))
+
+    def artist_genre():
+        # Genres an artist has sung in: the genres of the songs linked to them.
+        return (t["Contributor_Song"].join(t["Artist"].select("Contributor_ContributorID"),
+                                           "Contributor_ContributorID", "left_semi")
+                .join(t["Song_Genre"], "Song_SongID")
+                .select(F.col("Contributor_ContributorID").alias("Artist_ContributorID"), "Genre")
+                .distinct())
+
+    builders = {
+        "RecordLabel": record_label, "Person": person, "Song": song, "Contributor": contributor,
+        "Songwriter": songwriter, "Producer": producer, "Artist": artist,
+        "Collaboration": collaboration, "Collaboration_Contributor": collaboration_contributor,
+        "Contributor_Song": contributor_song, "Song_Genre": song_genre, "Artist_Genre": artist_genre,
+        "RecordLabel_Collaboration": record_label_collaboration, "Employee": employee,
     }
-    t = {name: conform(df, name) for name, df in t.items()}
-    if raw_links:
-        t["RLC_raw"] = rlc_raw
+    conformed = {name: (lambda name=name, fn=fn: conform(fn(), name)) for name, fn in builders.items()}
+    conformed["RLC_raw"] = rlc_raw
+    t = LazyTables(conformed)
+    memo[sf_dir] = t
     return t
 
 
