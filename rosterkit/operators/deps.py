@@ -29,7 +29,7 @@ def _with_counts(base: DataFrame, key: str, parts: list[tuple[DataFrame, str, st
     out = base
     for child, child_key, name in parts:
         cnt = _counts(child, child_key, name)
-        out = out.join(cnt, out[key] == cnt["_k"], "left").drop("_k")
+        out = out.join(cnt.withColumnRenamed("_k", key), key, "left")
     return out.select(key, *[F.coalesce(F.col(n), F.lit(0)).alias(n) for _, _, n in parts])
 
 
@@ -78,14 +78,14 @@ def employee_dependencies(t: Tables, ids: DataFrame | None = None,
     if ids is not None:
         req = ids.select(F.col(ids_col).alias("EmployeeID")).distinct()
         emp = req.join(emp, "EmployeeID", "left")
-    c = t["Contributor"].select(F.col("Person_NIF").alias("_nif"), "ContributorID")
-    base = emp.join(c, emp.Person_NIF == c._nif, "left").select("EmployeeID", "ContributorID")
+    c = t["Contributor"].select("Person_NIF", "ContributorID")
+    base = emp.join(c, "Person_NIF", "left").select("EmployeeID", "ContributorID")
     parts = [(t["Collaboration_Contributor"], "Contributor_ContributorID", "CollaborationCount"),
              (t["Contributor_Song"], "Contributor_ContributorID", "SongCount")]
     out = base
     for child, child_key, name in parts:
         cnt = _counts(child, child_key, name)
-        out = out.join(cnt, out["ContributorID"] == cnt["_k"], "left").drop("_k")
+        out = out.join(cnt.withColumnRenamed("_k", "ContributorID"), "ContributorID", "left")
     return out.select("EmployeeID", *[F.coalesce(F.col(n), F.lit(0)).alias(n)
                                       for _, _, n in parts])
 

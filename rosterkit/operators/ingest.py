@@ -228,7 +228,7 @@ def classify_requests(t: Tables, req: DataFrame, entity: str = "contributor",
         "FieldsDiffer", F.when(F.col("_known").isNull(), F.lit(False)).otherwise(~same))
     creators = (r.where(F.col("_stored").isin("NEW", "ATTACH"))
                 .groupBy(F.col("NIF").alias("_cnif")).agg(F.min("seq").alias("_creator")))
-    r = r.join(creators, r.NIF == creators._cnif, "left").drop("_cnif")
+    r = r.join(creators.withColumnRenamed("_cnif", "NIF"), "NIF", "left")
     outcome = (F.when(F.col("_creator").isNotNull() & (F.col("seq") > F.col("_creator")), "EXISTING")
                .otherwise(F.col("_stored")))
     r = r.withColumn("Outcome", outcome)
@@ -240,7 +240,7 @@ def classify_requests(t: Tables, req: DataFrame, entity: str = "contributor",
     new_ids = assign_ids(first.select("seq"), "NewID", ["seq"], max_id(t[table], id_col))
     by_nif = first.select("seq", "NIF").join(new_ids, "seq").select(
         F.col("NIF").alias("_nnif"), "NewID")
-    r = r.join(by_nif, r.NIF == by_nif._nnif, "left").drop("_nnif")
+    r = r.join(by_nif.withColumnRenamed("_nnif", "NIF"), "NIF", "left")
     return (r.withColumn("ExistingID", F.when(
         (F.col("Outcome") == "EXISTING") & F.col("ExistingID").isNull(), F.col("NewID"))
         .otherwise(F.col("ExistingID")))

@@ -112,3 +112,61 @@ def check_tables(t: Tables) -> DataFrame:
                            F.lit(table).alias("table"), F.lit(f"fk:{fk.parent}").alias("rule"),
                            F.lit(",".join(fk.columns)).alias("detail"), "n"))
     return union_all(out)
+
+
+def enforce_rules(t: Tables) -> tuple[Tables, DataFrame]:
+    """Load-time rule enforcement: (tables holding only valid rows, rejects).
+
+    Tables are cleaned parents first.  A row is rejected when a NOT NULL
+    column is NULL, a row check fails, it repeats a primary key or unique
+    value already taken by a kept row (the smallest row per key is kept,
+    so the result does not depend on task order), or its foreign key
+    points at no kept parent row.  ``rejects``: (table, rule, row) with
+    the row as JSON.
+    """
+    from ..sources.schema import TOPOLOGICAL_ORDER
+    out = dict(t)
+    rej = []
+
+    def reject(df, table, rule):
+        rej.append(df.select(F.lit(table).alias("table"), F.lit(rule).alias("rule"),
+                             F.to_json(F.struct(*df.columns)).alias("row")))
+
+    for table in TOPOLOGICAL_ORDER:
+        if table not in t or table not in RULES:
+            continue
+        rules, df = RULES[table], t[table]
+        cols = df.columns
+        for c in rules.not_null:
+            reject(df.where(F.col(c).isNull()), table, f"not_null:{c}")
+            df = df.where(F.col(c).isNotNull())
+        for chk in rules.checks:
+            bad = ~F.coalesce(F.expr(chk.sql), F.lit(True))
+            reject(df.where(bad), table, f"check:{chk.name}")
+            df = df.where(~bad)
+        for fk in foreign_keys_of(table):
+            if fk.parent not in out:
+                continue
+            orphans = fk_violations(df, out[fk.parent], list(fk.columns), list(fk.parent_columns))
+            reject(orphans, table, f"fk:{fk.parent}")
+            keys = out[fk.parent].select(*[F.col(p).alias(c) for p, c in
+                                           zip(fk.parent_columns, fk.columns)]).distinct()
+            nulls = None
+            for c in fk.columns:
+                cond = F.col(c).isNull()
+                nulls = cond if nulls is None else nulls | cond
+            df = df.where(nulls).unionByName(df.where(~nulls).join(keys, list(fk.columns), "left_semi"))
+        for key, rule in [(list(rules.pk), "pk")] + [(list(u), f"unique:{','.join(u)}")
+                                                     for u in rules.unique]:
+            others = [c for c in cols if c not in key]
+            src = df.where(F.col(key[0]).isNotNull()) if rule != "pk" else df
+            keep = src.groupBy(*key).agg(F.min(F.struct(*others)).alias("_r")) if others else \
+                src.select(*key).distinct()
+            if others:
+                keep = keep.select(*key, *[F.col(f"_r.{c}").alias(c) for c in others]).select(*cols)
+            dropped = src.exceptAll(keep)
+            reject(dropped, table, rule)
+            df = (keep if rule == "pk" else
+                  keep.unionByName(df.where(F.col(key[0]).isNull())))
+        out[table] = df
+    return out, union_all(rej)

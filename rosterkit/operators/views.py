@@ -43,8 +43,8 @@ def label_dependencies(t: Tables, side: str = "id2") -> DataFrame:
     emp = _count_by(t["Employee"], "RecordLabel_RecordLabelID", "EmployeeCount")
     lnk = _count_by(link_keys, "_l", "CollaborationCount")
     rl = t["RecordLabel"].select("RecordLabelID")
-    return (rl.join(emp, rl.RecordLabelID == emp._k, "left").drop("_k")
-            .join(lnk, rl.RecordLabelID == lnk._k, "left").drop("_k")
+    return (rl.join(emp.withColumnRenamed("_k", "RecordLabelID"), "RecordLabelID", "left")
+            .join(lnk.withColumnRenamed("_k", "RecordLabelID"), "RecordLabelID", "left")
             .select("RecordLabelID",
                     F.coalesce("EmployeeCount", F.lit(0)).alias("EmployeeCount"),
                     F.coalesce("CollaborationCount", F.lit(0)).alias("CollaborationCount")))
@@ -52,14 +52,14 @@ def label_dependencies(t: Tables, side: str = "id2") -> DataFrame:
 
 def employee_directory(t: Tables) -> DataFrame:
     """VW-3: Employee ⨝ Person ⨝ RecordLabel (inner joins)."""
-    e, p = t["Employee"], t["Person"]
-    rl = t["RecordLabel"].select(F.col("RecordLabelID").alias("_rl"),
-                                 F.col("Name").alias("RecordLabelName"))
-    return (e.join(p, e.Person_NIF == p.NIF)
-            .join(rl, e.RecordLabel_RecordLabelID == rl._rl)
-            .select("EmployeeID", e.Person_NIF.alias("NIF"), p.Name, p.DateOfBirth, "JobTitle",
-                    "Department", "Salary", "HireDate", p.Email, p.PhoneNumber,
-                    e.RecordLabel_RecordLabelID.alias("RecordLabelID"), "RecordLabelName"))
+    e = t["Employee"].select("EmployeeID", F.col("Person_NIF").alias("NIF"), "JobTitle",
+                             "Department", "Salary", "HireDate",
+                             F.col("RecordLabel_RecordLabelID").alias("RecordLabelID"))
+    p = t["Person"].select("NIF", "Name", "DateOfBirth", "Email", "PhoneNumber")
+    rl = t["RecordLabel"].select("RecordLabelID", F.col("Name").alias("RecordLabelName"))
+    return (e.join(p, "NIF").join(rl, "RecordLabelID")
+            .select("EmployeeID", "NIF", "Name", "DateOfBirth", "JobTitle", "Department", "Salary",
+                    "HireDate", "Email", "PhoneNumber", "RecordLabelID", "RecordLabelName"))
 
 
 def contributor_names(t: Tables, links: DataFrame, link_key: str, link_contributor: str) -> DataFrame:
@@ -81,8 +81,8 @@ def song_lists(t: Tables) -> DataFrame:
                                      "Contributor_ContributorID"),
                    "_key", "_name", "Contributors", empty_as_null=False)
     s = t["Song"]
-    return (s.join(genres.withColumnRenamed("_key", "_g"), s.SongID == F.col("_g"), "left")
-            .join(names.withColumnRenamed("_key", "_n"), s.SongID == F.col("_n"), "left")
+    return (s.join(genres.withColumnRenamed("_key", "SongID"), "SongID", "left")
+            .join(names.withColumnRenamed("_key", "SongID"), "SongID", "left")
             .select("SongID", "Title", "Duration", "ReleaseDate",
                     F.coalesce("Genres", F.lit("")).alias("Genres"),
                     F.coalesce("Contributors", F.lit("")).alias("Contributors")))
@@ -132,17 +132,15 @@ def contributor_roles(t: Tables) -> DataFrame:
 
 def contributor_directory(t: Tables) -> DataFrame:
     """VW-5: person fields, employing label (if any) and role list."""
-    c, p = t["Contributor"], t["Person"]
-    e = t["Employee"].select(F.col("Person_NIF").alias("_enif"),
+    c = t["Contributor"].select("ContributorID", F.col("Person_NIF").alias("NIF"))
+    p = t["Person"].select("NIF", "Name", "DateOfBirth", "Email", "PhoneNumber")
+    e = t["Employee"].select(F.col("Person_NIF").alias("NIF"),
                              F.col("RecordLabel_RecordLabelID").alias("_elabel"))
-    rl = t["RecordLabel"].select(F.col("RecordLabelID").alias("_rl"),
+    rl = t["RecordLabel"].select(F.col("RecordLabelID").alias("_elabel"),
                                  F.col("Name").alias("RecordLabelName"))
-    roles = contributor_roles(t).withColumnRenamed("ContributorID", "_rc")
-    return (c.join(p, c.Person_NIF == p.NIF)
-            .join(e, p.NIF == F.col("_enif"), "left")
-            .join(rl, F.col("_elabel") == F.col("_rl"), "left")
-            .join(roles, c.ContributorID == F.col("_rc"), "left")
-            .select("ContributorID", p.NIF, p.Name, p.DateOfBirth, p.Email, p.PhoneNumber,
+    return (c.join(p, "NIF").join(e, "NIF", "left").join(rl, "_elabel", "left")
+            .join(contributor_roles(t), "ContributorID", "left")
+            .select("ContributorID", "NIF", "Name", "DateOfBirth", "Email", "PhoneNumber",
                     "RecordLabelName", "Roles"))
 
 
@@ -168,10 +166,11 @@ def collaboration_catalog(t: Tables) -> DataFrame:
     """
     labels, names = collaboration_lists(t)
     k = t["Collaboration"]
-    s = t["Song"].select(F.col("SongID"), F.col("Title").alias("SongTitle"))
-    return (k.join(s, k.Song_SongID == s.SongID, "left")
-            .join(labels.withColumnRenamed("_key", "_lk"), k.CollaborationID == F.col("_lk"), "left")
-            .join(names.withColumnRenamed("_key", "_nk"), k.CollaborationID == F.col("_nk"), "left")
+    s = t["Song"].select(F.col("SongID").alias("Song_SongID"), "SongID",
+                         F.col("Title").alias("SongTitle"))
+    return (k.join(s, "Song_SongID", "left")
+            .join(labels.withColumnRenamed("_key", "CollaborationID"), "CollaborationID", "left")
+            .join(names.withColumnRenamed("_key", "CollaborationID"), "CollaborationID", "left")
             .select("CollaborationID", "CollaborationName", "StartDate", "EndDate", "Description",
                     "SongID", "SongTitle", "RecordLabels", "Contributors"))
 

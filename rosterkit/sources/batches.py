@@ -49,7 +49,7 @@ def employee_requests(d: dict[str, DataFrame]) -> DataFrame:
     r = person_requests(d)
     r = r.withColumn("_ck", F.when(F.col("seq") >= 10000000, F.col("seq") - 10000000)
                      .otherwise(F.col("seq")))
-    j = r.join(c, r._ck == c.c_custkey)
+    j = r.join(c, F.col("_ck") == F.col("c_custkey"))
     return j.select(
         *[x for x in r.columns if x != "_ck"],
         F.lit("Analyst").alias("JobTitle"), F.col("c_mktsegment").alias("Department"),

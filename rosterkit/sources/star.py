@@ -57,7 +57,7 @@ def star_tables(spark: SparkSession, sf_dir: str, *, raw_links: bool = False,
 
     def record_label():
         nation, region = d["nation"], d["region"]
-        return nation.join(region, nation.n_regionkey == region.r_regionkey).select(
+        return nation.join(region, F.col("n_regionkey") == F.col("r_regionkey")).select(
             F.col("n_nationkey").alias("RecordLabelID"),
             F.col("n_name").alias("Name"),
             F.col("r_name").alias("Location"),
@@ -117,7 +117,7 @@ def star_tables(spark: SparkSession, sf_dir: str, *, raw_links: bool = False,
         orders = d["orders"]
         first_part = d["lineitem"].groupBy("l_orderkey").agg(F.min("l_partkey").alias("Song_SongID"))
         start = F.col("o_orderdate").cast("date")
-        return orders.join(first_part, orders.o_orderkey == first_part.l_orderkey, "left").select(
+        return orders.join(first_part, F.col("o_orderkey") == F.col("l_orderkey"), "left").select(
             F.col("o_orderkey").alias("CollaborationID"),
             F.concat(F.lit("Collab "), F.col("o_orderpriority"), F.lit(" "),
                      F.col("o_orderkey").cast("string")).alias("CollaborationName"),
