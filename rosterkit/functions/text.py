@@ -20,7 +20,7 @@ def contains_ci(col, term: str, pattern: bool = False) -> Column:
     """
     c = _col(col)
     if pattern:
-        return c.ilike(F.lit("%" + term + "%"))
+        return c.ilike("%" + term + "%")
     return F.lower(c).contains(F.lit(term.lower()))
 
 

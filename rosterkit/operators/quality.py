@@ -74,8 +74,24 @@ def length_violations(df: DataFrame, col: str, max_len: int, out: str = "n") ->
     return df.withColumn(out, F.length(col).cast("bigint")).where(F.col(out) > max_len)
 
 
+def _row_rules(table: str) -> list[tuple[str, str, F.Column]]:
+    """(rule, detail, violation predicate) for the row-level rules of a table."""
+    rules = RULES[table]
+    out = [(f"not_null", c, F.col(c).isNull()) for c in rules.not_null]
+    out += [(f"check:{chk.name}", chk.sql, ~F.coalesce(F.expr(chk.sql), F.lit(True)))
+            for chk in rules.checks]
+    out += [(f"length:{c}", str(n), F.coalesce(F.length(c) > n, F.lit(False)))
+            for c, n in rules.max_length.items()]
+    return out
+
+
 def check_tables(t: Tables) -> DataFrame:
-    """Every rule of every table: (table, rule, detail, n) for each violation group."""
+    """Every rule of every table: (table, rule, detail, n) per violated rule.
+
+    Row-level rules (NOT NULL, checks, lengths) of a table are counted in
+    one aggregate over one scan; keys, unique values and foreign keys need
+    one grouped count or anti join each.
+    """
     out = []
     for table, rules in RULES.items():
         if table not in t:
@@ -89,21 +105,15 @@ def check_tables(t: Tables) -> DataFrame:
             out.append(unique_violations(df, col).select(
                 F.lit(table).alias("table"), F.lit(f"unique:{col}").alias("rule"),
                 F.col("v").cast("string").alias("detail"), "n"))
-        if rules.not_null:
-            out.append(not_null_violations(df, keys, list(rules.not_null)).groupBy("ColumnName")
-                       .agg(F.count(F.lit(1)).alias("n")).select(
-                           F.lit(table).alias("table"), F.lit("not_null").alias("rule"),
-                           F.col("ColumnName").alias("detail"), "n"))
-        for chk in rules.checks:
-            out.append(check_violations(df, chk.sql).agg(F.count(F.lit(1)).alias("n"))
-                       .where(F.col("n") > 0).select(
-                           F.lit(table).alias("table"), F.lit(f"check:{chk.name}").alias("rule"),
-                           F.lit(chk.sql).alias("detail"), "n"))
-        for col, n in rules.max_length.items():
-            out.append(length_violations(df, col, n, "_len").agg(F.count(F.lit(1)).alias("n"))
-                       .where(F.col("n") > 0).select(
-                           F.lit(table).alias("table"), F.lit(f"length:{col}").alias("rule"),
-                           F.lit(str(n)).alias("detail"), "n"))
+        row_rules = _row_rules(table)
+        if row_rules:
+            counts = df.agg(*[F.count_if(pred).alias(f"_r{i}") for i, (_, _, pred) in
+                              enumerate(row_rules)])
+            stacked = F.explode(F.array(*[F.struct(F.lit(rule).alias("rule"), F.lit(detail).alias("detail"),
+                                                   F.col(f"_r{i}").alias("n"))
+                                          for i, (rule, detail, _) in enumerate(row_rules)]))
+            out.append(counts.select(stacked.alias("_s")).select(
+                F.lit(table).alias("table"), "_s.rule", "_s.detail", "_s.n").where(F.col("n") > 0))
         for fk in foreign_keys_of(table):
             if fk.parent not in t:
                 continue
@@ -114,7 +124,7 @@ def check_tables(t: Tables) -> DataFrame:
     return union_all(out)
 
 
-def enforce_rules(t: Tables) -> tuple[Tables, DataFrame]:
+def enforce_rules(t: Tables, materialize: bool = False) -> tuple[Tables, DataFrame]:
     """Load-time rule enforcement: (tables holding only valid rows, rejects).
 
     Tables are cleaned parents first.  A row is rejected when a NOT NULL
@@ -122,7 +132,9 @@ def enforce_rules(t: Tables) -> tuple[Tables, DataFrame]:
     value already taken by a kept row (the smallest row per key is kept,
     so the result does not depend on task order), or its foreign key
     points at no kept parent row.  ``rejects``: (table, rule, row) with
-    the row as JSON.
+    the row as JSON.  ``materialize=True`` checkpoints each cleaned table
+    (into ``spark.checkpoint.dir``) so children and rejects reuse it
+    instead of recomputing the parent chain.
     """
     from ..sources.schema import TOPOLOGICAL_ORDER
     out = dict(t)
@@ -168,5 +180,9 @@ def enforce_rules(t: Tables) -> tuple[Tables, DataFrame]:
             reject(dropped, table, rule)
             df = (keep if rule == "pk" else
                   keep.unionByName(df.where(F.col(key[0]).isNull())))
+        if materialize:
+            from ..plans.session import ensure_checkpoint_dir
+            ensure_checkpoint_dir(df.sparkSession)
+            df = df.checkpoint(eager=True)
         out[table] = df
     return out, union_all(rej)

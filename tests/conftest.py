@@ -26,7 +26,7 @@ def seed(spark):
 def loaded(spark, seed):
     """Seed state after rule enforcement and the purge rules, applied once at the end."""
     from rosterkit.operators import quality, remove
-    t, _ = quality.enforce_rules(seed)
+    t, _ = quality.enforce_rules(seed, materialize=True)
     t = remove.purge_small_collaborations(t).tables
     t = remove.purge_orphan_songs(t).tables
     return {k: v.cache() for k, v in t.items()}

@@ -16,7 +16,7 @@ def ids(df, col):
 
 
 def test_load_rejects(spark, seed):
-    t, rej = quality.enforce_rules(seed)
+    t, rej = quality.enforce_rules(seed, materialize=True)
     got = sorted((r.table, r.rule) for r in rej.collect())
     assert got.count(("RecordLabel_Collaboration", "pk")) == 3
     assert got.count(("RecordLabel_Collaboration", "check:distinct_labels")) == 3
