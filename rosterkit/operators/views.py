@@ -91,23 +91,24 @@ def song_lists(t: Tables) -> DataFrame:
 def song_catalog(t: Tables) -> DataFrame:
     """VW-4: one row per (song, collaboration of the song); NULL name if none.
 
-    The fan-out is written as an inner join driven by Collaboration plus
-    the songs without any collaboration, not as ``Song LEFT JOIN
-    Collaboration``: a song used by a huge share of collaborations then
-    sits on the splittable side of an inner join (AQE skew split), and
-    the anti join reads only distinct song ids, which the map side
-    pre-aggregates.
+    The (song, collaboration) pairs are built first on skinny columns:
+    every collaboration that names a song, plus one NULL-named pair for
+    each song no collaboration uses (an anti join against distinct song
+    ids, which the map side pre-aggregates).  The pairs are then
+    inner-joined once to the songs with their roll-ups.  A song used by a
+    huge share of collaborations thus sits on the splittable side of an
+    inner join (AQE skew split) instead of the non-splittable side of
+    ``Song LEFT JOIN Collaboration``, and the roll-ups are computed once.
     """
     songs = song_lists(t)
     k = t["Collaboration"].where(F.col("Song_SongID").isNotNull())
-    with_collab = k.select(F.col("Song_SongID").alias("SongID"), "CollaborationName").join(
-        songs, "SongID")
+    named = k.select(F.col("Song_SongID").alias("SongID"), "CollaborationName")
     used = k.select(F.col("Song_SongID").alias("SongID")).distinct()
-    without = songs.join(used, "SongID", "left_anti").withColumn(
-        "CollaborationName", F.lit(None).cast("string"))
-    cols = ["SongID", "Title", "Duration", "ReleaseDate", "Genres", "Contributors",
-            "CollaborationName"]
-    return with_collab.select(*cols).unionByName(without.select(*cols))
+    unnamed = (t["Song"].select("SongID").join(used, "SongID", "left_anti")
+               .withColumn("CollaborationName", F.lit(None).cast("string")))
+    pairs = named.unionByName(unnamed)
+    return pairs.join(songs, "SongID").select(
+        "SongID", "Title", "Duration", "ReleaseDate", "Genres", "Contributors", "CollaborationName")
 
 
 ROLE_TABLES = (("Artist", "Artist"), ("Producer", "Producer"), ("Songwriter", "Songwriter"))
