@@ -35,9 +35,14 @@ def main() -> None:
     QUERIES["dashboard_counts"](spark, sf_dir).write.format("noop").mode("overwrite").save()
 
     times: dict[str, float] = {}
+    failed: dict[str, str] = {}
     for k in keys:
         t0 = time.perf_counter()
-        QUERIES[k](spark, sf_dir).write.format("noop").mode("overwrite").save()
+        try:
+            QUERIES[k](spark, sf_dir).write.format("noop").mode("overwrite").save()
+        except Exception as ex:  # noqa: BLE001 - one failing query must not hide the others
+            failed[k] = f"{type(ex).__name__}: {str(ex)[:200]}"
+            continue
         times[k] = round(time.perf_counter() - t0, 3)
     head = [k for k in HEADLINE if k in times]
     m = re.search(r"sf([0-9.]+)", sf_dir)
@@ -51,6 +56,8 @@ def main() -> None:
         "sf": float(m.group(1)) if m else sf_dir,
         "cpus": cpus,
     }
+    if failed:
+        out["failed"] = failed
     print(json.dumps(out))
     spark.stop()
 
