@@ -18,6 +18,7 @@ from ..functions.text import same_or_empty
 from ..sources.schema import RULES, SCHEMAS
 from .changes import ChangeSet, empty_rejects, rejects, union_all, with_tables
 from .ids import assign_ids, max_id
+from .joins import join_to_unique
 
 Tables = dict[str, DataFrame]
 
@@ -213,7 +214,11 @@ def classify_requests(t: Tables, req: DataFrame, entity: str = "contributor",
     p = t["Person"].select(F.col("NIF").alias("NIF"), F.lit(True).alias("_known"),
                            *[F.col(c).alias(f"_p_{c}") for c in _PERSON_FIELDS])
     target = t[table].select(F.col("Person_NIF").alias("NIF"), F.col(id_col).alias("ExistingID"))
-    r = req.join(p, "NIF", "left").join(target, "NIF", "left")
+    # one row per known NIF: the stored person and its role record, if any
+    # (a role record always belongs to a stored person, FK restrict)
+    known = p.join(target, "NIF", "left")
+    # a NIF repeated by a huge share of the batch is spread over buckets
+    r = join_to_unique(req, known, "NIF", "left")
     same = None
     for c in _PERSON_FIELDS:
         eq = same_or_empty(F.col(f"_p_{c}"), F.col(c)) if c in req.columns else F.lit(True)

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.lists import flag_list, rollup
+from .joins import join_to_unique
 
 Tables = dict[str, DataFrame]
 
@@ -57,19 +58,19 @@ def employee_directory(t: Tables) -> DataFrame:
                              F.col("RecordLabel_RecordLabelID").alias("RecordLabelID"))
     p = t["Person"].select("NIF", "Name", "DateOfBirth", "Email", "PhoneNumber")
     rl = t["RecordLabel"].select("RecordLabelID", F.col("Name").alias("RecordLabelName"))
-    return (e.join(p, "NIF").join(rl, "RecordLabelID")
+    return (join_to_unique(e.join(p, "NIF"), rl, "RecordLabelID")
             .select("EmployeeID", "NIF", "Name", "DateOfBirth", "JobTitle", "Department", "Salary",
                     "HireDate", "Email", "PhoneNumber", "RecordLabelID", "RecordLabelName"))
 
 
 def contributor_names(t: Tables, links: DataFrame, link_key: str, link_contributor: str) -> DataFrame:
     """(link_key, person name) for each link row: link ⨝ Contributor ⨝ Person."""
-    c = t["Contributor"].select(F.col("ContributorID").alias("_cid"), "Person_NIF")
+    c = t["Contributor"].select(F.col("ContributorID").alias("_c"), F.col("Person_NIF").alias("_nif"))
     p = t["Person"].select(F.col("NIF").alias("_nif"), F.col("Name").alias("_name"))
-    return (links.select(F.col(link_key).alias("_key"), F.col(link_contributor).alias("_c"))
-            .join(c, F.col("_c") == F.col("_cid"))
-            .join(p, F.col("Person_NIF") == F.col("_nif"))
-            .select("_key", "_name"))
+    names = c.join(p, "_nif").select("_c", "_name")  # one row per contributor
+    # a prolific contributor's links are spread over buckets (joins.join_to_unique)
+    return join_to_unique(links.select(F.col(link_key).alias("_key"), F.col(link_contributor).alias("_c")),
+                          names, "_c").select("_key", "_name")
 
 
 def song_lists(t: Tables) -> DataFrame:
@@ -107,7 +108,7 @@ def song_catalog(t: Tables) -> DataFrame:
     unnamed = (t["Song"].select("SongID").join(used, "SongID", "left_anti")
                .withColumn("CollaborationName", F.lit(None).cast("string")))
     pairs = named.unionByName(unnamed)
-    return pairs.join(songs, "SongID").select(
+    return join_to_unique(pairs, songs, "SongID").select(
         "SongID", "Title", "Duration", "ReleaseDate", "Genres", "Contributors", "CollaborationName")
 
 
@@ -139,7 +140,7 @@ def contributor_directory(t: Tables) -> DataFrame:
                              F.col("RecordLabel_RecordLabelID").alias("_elabel"))
     rl = t["RecordLabel"].select(F.col("RecordLabelID").alias("_elabel"),
                                  F.col("Name").alias("RecordLabelName"))
-    return (c.join(p, "NIF").join(e, "NIF", "left").join(rl, "_elabel", "left")
+    return (join_to_unique(c.join(p, "NIF").join(e, "NIF", "left"), rl, "_elabel", "left")
             .join(contributor_roles(t), "ContributorID", "left")
             .select("ContributorID", "NIF", "Name", "DateOfBirth", "Email", "PhoneNumber",
                     "RecordLabelName", "Roles"))
@@ -169,7 +170,7 @@ def collaboration_catalog(t: Tables) -> DataFrame:
     k = t["Collaboration"]
     s = t["Song"].select(F.col("SongID").alias("Song_SongID"), "SongID",
                          F.col("Title").alias("SongTitle"))
-    return (k.join(s, "Song_SongID", "left")
+    return (join_to_unique(k, s, "Song_SongID", "left")
             .join(labels.withColumnRenamed("_key", "CollaborationID"), "CollaborationID", "left")
             .join(names.withColumnRenamed("_key", "CollaborationID"), "CollaborationID", "left")
             .select("CollaborationID", "CollaborationName", "StartDate", "EndDate", "Description",

@@ -189,3 +189,39 @@ def test_records(loaded):
          records.to_records(views.collaboration_catalog(loaded), "collaboration").collect()}
     assert r[1].StartDate == "2024-05-01" and r[1].RecordLabels == ["Nova Tunes"]
     assert r[2].RecordLabels == [] and r[2].EndDate is None
+
+
+# ------------------------------------------------------------------ skew
+
+def test_join_to_unique_splits_hot_keys(spark):
+    from rosterkit.operators.joins import hot_keys, join_to_unique
+    big = spark.range(3000).select(
+        F.when(F.col("id") % 3 == 0, F.lit(1)).otherwise(F.col("id") % 50).alias("k"),
+        F.col("id").alias("v"))
+    uniq = spark.range(0, 40).select(F.col("id").alias("k"), (F.col("id") * 10).alias("w"))
+    hot = {r.k: r._buckets for r in hot_keys(big, ["k"], 200, 8).collect()}
+    assert hot == {1: 6}                       # 1000 + 60 rows on key 1, 6 buckets of 200
+    for how in ("inner", "left"):
+        got = sorted(map(tuple, join_to_unique(big, uniq, "k", how, hot_rows=200,
+                                               max_buckets=8).select("k", "v", "w").collect()),
+                     key=lambda r: (r[1], r[0]))
+        want = sorted(map(tuple, big.join(uniq, "k", how).select("k", "v", "w").collect()),
+                      key=lambda r: (r[1], r[0]))
+        assert got == want
+
+
+def test_song_catalog_with_hot_song(spark, loaded):
+    t = dict(loaded)
+    extra = spark.range(100, 700).select(
+        F.col("id").alias("CollaborationID"), F.concat(F.lit("C"), F.col("id").cast("string"))
+        .alias("CollaborationName"), F.lit(dt.date(2024, 1, 1)).alias("StartDate"),
+        F.lit(None).cast("date").alias("EndDate"), F.lit(None).cast("string").alias("Description"),
+        F.lit(2).cast("bigint").alias("Song_SongID"))
+    t["Collaboration"] = loaded["Collaboration"].unionByName(extra)
+    spark.conf.set("rosterkit.skew.hotRows", "50")
+    try:
+        rows = views.song_catalog(t).where("SongID = 2").collect()
+    finally:
+        spark.conf.unset("rosterkit.skew.hotRows")
+    assert len(rows) == 601
+    assert {r.Genres for r in rows} == {"Acoustic, Indie"}
