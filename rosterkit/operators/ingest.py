@@ -195,21 +195,9 @@ def _as_of(as_of) -> Column:
 _TARGET = {"contributor": ("Contributor", "ContributorID"), "employee": ("Employee", "EmployeeID")}
 
 
-def classify_requests(t: Tables, req: DataFrame, entity: str = "contributor",
-                      assign_new_ids: bool = True, attach_when: Column | None = None) -> DataFrame:
-    """WR-4/WR-5: Outcome per request: NEW, EXISTING, ATTACH or CONFLICT.
-
-    Against the stored tables: person unknown → NEW; role record already
-    there → EXISTING (its id in ExistingID); person fields equal (NULL
-    and '' alike, dates as text) → ATTACH; otherwise CONFLICT.  Within
-    the batch the first NEW/ATTACH request per NIF (by seq) creates the
-    record; later requests for that NIF become EXISTING with the new id.
-    The creator per NIF is a grouped ``min(seq)`` (partial on the map
-    side), not a window over a possibly huge NIF group.
-    ``FieldsDiffer`` tells whether incoming and stored fields differ.
-    ``attach_when`` (a predicate on the request) turns CONFLICT into
-    ATTACH, the ``keep`` policy of WR-8.
-    """
+def _stored_outcomes(t: Tables, req: DataFrame, entity: str) -> DataFrame:
+    """Requests with ``_stored`` (outcome against the stored tables only),
+    ``FieldsDiffer``, ``ExistingID`` and the stored person fields ``_p_*``."""
     table, id_col = _TARGET[entity]
     p = t["Person"].select(F.col("NIF").alias("NIF"), F.lit(True).alias("_known"),
                            *[F.col(c).alias(f"_p_{c}") for c in _PERSON_FIELDS])
@@ -226,19 +214,21 @@ def classify_requests(t: Tables, req: DataFrame, entity: str = "contributor",
     stored = (F.when(F.col("_known").isNull(), "NEW")
               .when(F.col("ExistingID").isNotNull(), "EXISTING")
               .when(same, "ATTACH")
-              .when(F.coalesce(attach_when, F.lit(False)) if attach_when is not None else F.lit(False),
-                    "ATTACH")
               .otherwise("CONFLICT"))
-    r = r.withColumn("_stored", stored).withColumn(
+    return r.withColumn("_stored", stored).withColumn(
         "FieldsDiffer", F.when(F.col("_known").isNull(), F.lit(False)).otherwise(~same))
+
+
+def _batch_outcomes(t: Tables, r: DataFrame, entity: str, assign_new_ids: bool) -> DataFrame:
+    """Apply the within-batch rule to ``_stored`` and (optionally) assign new ids."""
+    table, id_col = _TARGET[entity]
     creators = (r.where(F.col("_stored").isin("NEW", "ATTACH"))
                 .groupBy(F.col("NIF").alias("_cnif")).agg(F.min("seq").alias("_creator")))
     r = r.join(creators.withColumnRenamed("_cnif", "NIF"), "NIF", "left")
     outcome = (F.when(F.col("_creator").isNotNull() & (F.col("seq") > F.col("_creator")), "EXISTING")
                .otherwise(F.col("_stored")))
     r = r.withColumn("Outcome", outcome)
-    drop = ["_known", "_stored"] + [f"_p_{c}" for c in _PERSON_FIELDS]
-    r = r.drop(*drop)
+    r = r.drop("_known", "_stored", *[f"_p_{c}" for c in _PERSON_FIELDS])
     if not assign_new_ids:
         return r.drop("_creator")
     first = r.where(F.col("seq") == F.col("_creator"))
@@ -253,6 +243,29 @@ def classify_requests(t: Tables, req: DataFrame, entity: str = "contributor",
         .drop("_creator"))
 
 
+def classify_requests(t: Tables, req: DataFrame, entity: str = "contributor",
+                      assign_new_ids: bool = True, attach_when: Column | None = None) -> DataFrame:
+    """WR-4/WR-5: Outcome per request: NEW, EXISTING, ATTACH or CONFLICT.
+
+    Against the stored tables: person unknown → NEW; role record already
+    there → EXISTING (its id in ExistingID); person fields equal (NULL
+    and '' alike, dates as text) → ATTACH; otherwise CONFLICT.  Within
+    the batch the first NEW/ATTACH request per NIF (by seq) creates the
+    record; later requests for that NIF become EXISTING with the new id.
+    The creator per NIF is a grouped ``min(seq)`` (partial on the map
+    side), not a window over a possibly huge NIF group.
+    ``FieldsDiffer`` tells whether incoming and stored fields differ.
+    ``attach_when`` (a predicate on the request) turns CONFLICT into
+    ATTACH, the ``keep`` policy of WR-8.
+    """
+    r = _stored_outcomes(t, req, entity)
+    if attach_when is not None:
+        r = r.withColumn("_stored", F.when(
+            (F.col("_stored") == "CONFLICT") & F.coalesce(attach_when, F.lit(False)), "ATTACH")
+            .otherwise(F.col("_stored")))
+    return _batch_outcomes(t, r, entity, assign_new_ids)
+
+
 def conflict_report(t: Tables, classified: DataFrame) -> DataFrame:
     """WR-7: stored and incoming person fields side by side for CONFLICT requests."""
     p = t["Person"].select("NIF", *[F.col(c).alias(f"Existing{c}") for c in _PERSON_FIELDS])
@@ -328,19 +341,21 @@ def apply_requests(t: Tables, req: DataFrame, entity: str = "contributor",
     """
     from .update import update_persons  # local import: update builds on ingest
 
-    classified = classify_requests(t, req, entity, assign_new_ids=False)
+    r = _stored_outcomes(t, req, entity)
     pol = F.lower(F.col(policy_col))
-    p = t["Person"].select("NIF", F.col("Name").alias("_stored_name"))
-    conflicts = classified.where(F.col("Outcome") == "CONFLICT").join(p, "NIF")
-    resolutions = conflicts.select(
+    conflict = F.col("_stored") == "CONFLICT"
+    resolutions = r.where(conflict).select(
         "seq", "NIF", pol.alias("Policy"),
-        F.when(pol == "keep", F.col("_stored_name")).when(pol == "overwrite", F.col("Name"))
+        F.when(pol == "keep", F.col("_p_Name")).when(pol == "overwrite", F.col("Name"))
         .alias("PersonName"))
-    cancelled = conflicts.where(~F.coalesce(pol.isin("keep", "overwrite"), F.lit(False))).select("seq")
-    overwrite = conflicts.where(pol == "overwrite").select("seq", "NIF", *_PERSON_FIELDS)
+    overwrite = r.where(conflict & (pol == "overwrite")).select("seq", "NIF", *_PERSON_FIELDS)
     updated = update_persons(t, overwrite)
-    live = req.join(cancelled, "seq", "left_anti")
-    final = classify_requests(updated.tables, live, entity, attach_when=pol == "keep")
+    # keep / overwrite conflicts attach (after the update the fields agree);
+    # cancelled ones and conflicts without a policy write nothing
+    chosen = F.coalesce(pol.isin("keep", "overwrite"), F.lit(False))
+    live = r.where(~conflict | chosen).withColumn(
+        "_stored", F.when(conflict, F.lit("ATTACH")).otherwise(F.col("_stored")))
+    final = _batch_outcomes(t, live, entity, assign_new_ids=True)
     change = attach(updated.tables, final, entity)
     change.rejects = union_all([change.rejects, updated.rejects])
     change.reports["resolutions"] = resolutions
