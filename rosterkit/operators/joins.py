@@ -53,11 +53,12 @@ def join_to_unique(big: DataFrame, unique: DataFrame, on: str | list[str], how:
                    hot_rows: int | None = None, max_buckets: int | None = None) -> DataFrame:
     """``big.join(unique, on, how)`` where ``unique`` has at most one row per key.
 
-    ``how`` is ``inner`` or ``left`` (``big`` is the left side).  Hot keys
-    of ``big`` are split over buckets as described in the module text.
+    ``how`` is ``inner``, ``left``, ``left_semi`` or ``left_anti`` (``big``
+    is the left side; for the last two ``unique`` is a set of keys).  Hot
+    keys of ``big`` are split over buckets as described in the module text.
     """
-    if how not in ("inner", "left"):
-        raise ValueError("how must be 'inner' or 'left'")
+    if how not in ("inner", "left", "left_semi", "left_anti"):
+        raise ValueError("how must be 'inner', 'left', 'left_semi' or 'left_anti'")
     keys = [on] if isinstance(on, str) else list(on)
     if (big.sparkSession.conf.get(CONF_ENABLED, "true") or "true").lower() == "false":
         return big.join(unique, keys, how)

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from ..sources.schema import FOREIGN_KEYS, TOPOLOGICAL_ORDER, foreign_keys_of, pk
 from . import deps
 from .changes import ChangeSet, empty_rejects, rejects, union_all, with_tables
+from .joins import join_to_unique
 
 Tables = dict[str, DataFrame]
 
@@ -44,7 +45,9 @@ def delete_closure(t: Tables, deletes: dict[str, DataFrame]) -> tuple[Tables, di
                 continue
             parent_keys = deleted[fk.parent].select(
                 *[F.col(p).alias(c) for p, c in zip(fk.parent_columns, fk.columns)])
-            parts.append(t[table].join(parent_keys, list(fk.columns), "left_semi").select(*key))
+            # a parent holding a huge share of the child rows is split (joins.join_to_unique)
+            parts.append(join_to_unique(t[table].select(*dict.fromkeys(key + list(fk.columns))), parent_keys,
+                                        list(fk.columns), "left_semi").select(*key))
         if parts:
             deleted[table] = union_all(parts).distinct()
 
