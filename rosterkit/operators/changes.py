@@ -7,6 +7,7 @@ with a reason, and named reports.  ``sources.publish`` writes a version.
 
 from __future__ import annotations
 
+from collections.abc import Mapping
 from dataclasses import dataclass, field
 from functools import reduce
 
@@ -22,7 +23,7 @@ REJECT_SCHEMA = "entity STRING, seq BIGINT, key STRING, reason STRING"
 class ChangeSet:
     tables: Tables
     rejects: DataFrame
-    reports: dict[str, DataFrame] = field(default_factory=dict)
+    reports: Mapping[str, DataFrame] = field(default_factory=dict)
 
     def __getitem__(self, name: str) -> DataFrame:
         return self.tables[name]
@@ -42,6 +43,12 @@ def rejects(df: DataFrame, entity: str, key, reason, seq="seq") -> DataFrame:
                      col(key).cast("string").alias("key"), col(reason).cast("string").alias("reason"))
 
 
+def lazy_reports(**items) -> "Mapping[str, DataFrame]":
+    """Named reports; a callable value is built only when the report is read."""
+    from ..sources.lazy import LazyTables
+    return LazyTables({k: (v if callable(v) else (lambda v=v: v)) for k, v in items.items()})
+
+
 def union_all(frames: list[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b), frames)
 

@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 
 from ..sources.schema import FOREIGN_KEYS, TOPOLOGICAL_ORDER, foreign_keys_of, pk
 from . import deps
-from .changes import ChangeSet, empty_rejects, rejects, union_all, with_tables
+from ..sources.lazy import LazyTables
+from .changes import ChangeSet, empty_rejects, lazy_reports, rejects, union_all, with_tables
 from .joins import join_to_unique
 
 Tables = dict[str, DataFrame]
@@ -24,55 +25,76 @@ Tables = dict[str, DataFrame]
 
 # --------------------------------------------------------------------------- closure
 
-def delete_closure(t: Tables, deletes: dict[str, DataFrame]) -> tuple[Tables, dict[str, DataFrame], DataFrame]:
+def delete_closure(t: Tables, deletes: dict[str, DataFrame]):
     """DL-7: apply delete rules to sets of deleted keys.
 
     ``deletes`` maps a table to a DataFrame holding its key columns.
-    Returns (new tables, deleted keys per table, blocked references).
-    ``blocked`` lists restrict references that would survive: rows of a
+    Returns (new tables, deleted keys per table, blocked) where
+    ``blocked()`` lists restrict references that would survive: rows of a
     child that still point at a deleted parent (table, key, child).
+    Which tables are affected follows from the FK graph alone; each
+    table's deleted keys and new version are built only when read, so a
+    caller that needs one table does not plan fourteen.
     """
-    deleted: dict[str, DataFrame] = {}
+    spark = next(iter(deletes.values())).sparkSession
+    affected: list[str] = []
     for table in TOPOLOGICAL_ORDER:
-        if table not in t:
-            continue
+        if table in t and (table in deletes or any(
+                fk.on_delete == "cascade" and fk.parent in affected
+                for fk in foreign_keys_of(table))):
+            affected.append(table)
+    cache: dict[str, DataFrame] = {}
+
+    def parent_keys_of(fk):
+        return deleted_keys(fk.parent).select(
+            *[F.col(p).alias(c) for p, c in zip(fk.parent_columns, fk.columns)])
+
+    def deleted_keys(table: str) -> DataFrame:
+        if table in cache:
+            return cache[table]
         key = pk(table)
         parts = []
         if table in deletes:
             parts.append(deletes[table].select(*key))
         for fk in foreign_keys_of(table):
-            if fk.on_delete != "cascade" or fk.parent not in deleted:
+            if fk.on_delete != "cascade" or fk.parent not in affected:
                 continue
-            parent_keys = deleted[fk.parent].select(
-                *[F.col(p).alias(c) for p, c in zip(fk.parent_columns, fk.columns)])
-            # a parent holding a huge share of the child rows is split (joins.join_to_unique)
-            parts.append(join_to_unique(t[table].select(*dict.fromkeys(key + list(fk.columns))), parent_keys,
-                                        list(fk.columns), "left_semi").select(*key))
-        if parts:
-            deleted[table] = union_all(parts).distinct()
-
-    blocked = []
-    for fk in FOREIGN_KEYS:
-        if fk.on_delete != "restrict" or fk.parent not in deleted or fk.child not in t:
-            continue
-        parent_keys = deleted[fk.parent].select(
-            *[F.col(p).alias(c) for p, c in zip(fk.parent_columns, fk.columns)])
-        refs = t[fk.child].join(parent_keys, list(fk.columns), "left_semi")
-        if fk.child in deleted:
-            refs = refs.join(deleted[fk.child], pk(fk.child), "left_anti")
-        blocked.append(refs.select(
-            F.lit(fk.parent).alias("table"),
-            F.concat_ws(",", *[F.col(c).cast("string") for c in fk.columns]).alias("key"),
-            F.lit(fk.child).alias("child")))
-
-    new_t = with_tables(t, **{table: t[table].join(keys, pk(table), "left_anti")
-                              for table, keys in deleted.items()})
-    if blocked:
-        blocked_df = union_all(blocked)
-    else:
-        blocked_df = next(iter(deletes.values())).sparkSession.createDataFrame(
-            [], "table STRING, key STRING, child STRING")
-    return new_t, deleted, blocked_df
+            child = t[table].select(*dict.fromkeys(key + list(fk.columns)))
+            if set(fk.columns) >= set(key):
+                # at most one child row per parent (the FK is the key): no hot parent
+                parts.append(child.join(parent_keys_of(fk), list(fk.columns), "left_semi")
+                             .select(*key))
+            else:
+                # a parent holding a huge share of the child rows is split (joins.join_to_unique)
+                parts.append(join_to_unique(child, parent_keys_of(fk), list(fk.columns), "left_semi")
+                             .select(*key))
+        cache[table] = union_all(parts).distinct()
+        return cache[table]
+
+    def new_version(name: str) -> DataFrame:
+        if name not in affected:
+            return t[name]
+        return t[name].join(deleted_keys(name), pk(name), "left_anti")
+
+    def blocked() -> DataFrame:
+        out = []
+        for fk in FOREIGN_KEYS:
+            if fk.on_delete != "restrict" or fk.parent not in affected or fk.child not in t:
+                continue
+            refs = t[fk.child].join(parent_keys_of(fk), list(fk.columns), "left_semi")
+            if fk.child in affected:
+                refs = refs.join(deleted_keys(fk.child), pk(fk.child), "left_anti")
+            out.append(refs.select(
+                F.lit(fk.parent).alias("table"),
+                F.concat_ws(",", *[F.col(c).cast("string") for c in fk.columns]).alias("key"),
+                F.lit(fk.child).alias("child")))
+        if out:
+            return union_all(out)
+        return spark.createDataFrame([], "table STRING, key STRING, child STRING")
+
+    new_t = LazyTables({name: (lambda name=name: new_version(name)) for name in t})
+    deleted = LazyTables({name: (lambda name=name: deleted_keys(name)) for name in affected})
+    return new_t, deleted, blocked
 
 
 def _ids(ids: DataFrame, col: str, as_col: str) -> DataFrame:
@@ -130,8 +152,8 @@ def delete_labels(t: Tables, ids: DataFrame, mode: str = "strict", ids_col: str
         "RecordLabel": known, "Employee": emp.select("EmployeeID"), "Person": persons,
         "Collaboration": collabs})
     return ChangeSet(new_t, not_found.unionByName(empty_rejects(spark)),
-                     {"deleted_collaborations": collabs, "deleted_persons": persons,
-                      "blocked": blocked})
+                     lazy_reports(deleted_collaborations=collabs, deleted_persons=persons,
+                                  blocked=blocked))
 
 
 # --------------------------------------------------------------------------- songs
@@ -144,7 +166,7 @@ def delete_songs(t: Tables, ids: DataFrame, ids_col: str = "SongID") -> ChangeSe
     collabs = t["Collaboration"].join(known.select(F.col("SongID").alias("Song_SongID")),
                                       "Song_SongID", "left_semi").select("CollaborationID")
     new_t, _, blocked = delete_closure(t, {"Song": known, "Collaboration": collabs})
-    return ChangeSet(new_t, not_found, {"deleted_collaborations": collabs, "blocked": blocked})
+    return ChangeSet(new_t, not_found, lazy_reports(deleted_collaborations=collabs, blocked=blocked))
 
 
 # --------------------------------------------------------------------------- contributors
@@ -208,8 +230,8 @@ def delete_contributors(t: Tables, ids: DataFrame, ids_col: str = "ContributorID
                       .otherwise("kept").alias("Status")))
     rej = not_found.unionByName(rejects(blocked_songs, "Song", "SongID",
                                         "Song still used by a collaboration", seq="-"))
-    return ChangeSet(new_t, rej, {"songs": status, "deleted_collaborations": del_collabs,
-                                  "deleted_persons": persons, "blocked": blocked})
+    return ChangeSet(new_t, rej, lazy_reports(songs=status, deleted_collaborations=del_collabs,
+                                              deleted_persons=persons, blocked=blocked))
 
 
 # --------------------------------------------------------------------------- employees

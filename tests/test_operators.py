@@ -173,7 +173,7 @@ def test_delete_closure_cascade_and_restrict(spark, loaded):
     new_t, deleted, blocked = remove.delete_closure(loaded, {"Song": keys})
     assert new_t["Song_Genre"].where("Song_SongID = 5").count() == 0
     assert new_t["Contributor_Song"].where("Song_SongID = 5").count() == 0
-    assert [tuple(r) for r in blocked.collect()] == [("Song", "5", "Collaboration")]
+    assert [tuple(r) for r in blocked().collect()] == [("Song", "5", "Collaboration")]
 
 
 def test_delete_unknown_ids_rejected(spark, loaded):
