@@ -100,15 +100,17 @@ def split_list(req: DataFrame, list_col: str, out_col: str, keep: list[str],
 def resolve_nifs(t: Tables, items: DataFrame, nif_col: str = "NIF") -> tuple[DataFrame, DataFrame]:
     """JN-10: NIF tokens → ContributorID (inner join); unknown NIFs separately."""
     c = t["Contributor"].select(F.col("Person_NIF").alias(nif_col), "ContributorID")
-    known = items.join(c, nif_col)
-    unknown = items.join(c.select(nif_col), nif_col, "left_anti")
+    # a NIF named by a huge share of the list items is split (joins.join_to_unique)
+    known = join_to_unique(items, c, nif_col)
+    unknown = join_to_unique(items, c.select(nif_col), nif_col, "left_anti")
     return known, unknown
 
 
 def resolve_labels(t: Tables, items: DataFrame, name_col: str = "LabelName") -> tuple[DataFrame, DataFrame]:
     """JN-10: label-name tokens → RecordLabelID; unknown names separately."""
     rl = t["RecordLabel"].select(F.col("Name").alias(name_col), "RecordLabelID")
-    return items.join(rl, name_col), items.join(rl.select(name_col), name_col, "left_anti")
+    return (join_to_unique(items, rl, name_col),
+            join_to_unique(items, rl.select(name_col), name_col, "left_anti"))
 
 
 # --------------------------------------------------------------------------- unique checks

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..sources.schema import RULES, foreign_keys_of
 from .changes import union_all
+from .joins import join_to_unique
 
 Tables = dict[str, DataFrame]
 
@@ -50,7 +51,8 @@ def fk_violations(child: DataFrame, parent: DataFrame, columns: list[str],
     nn = child
     for c in columns:
         nn = nn.where(F.col(c).isNotNull())
-    return nn.join(keys, columns, "left_anti")
+    # a foreign key value held by a huge share of the child rows is split
+    return join_to_unique(nn, keys, columns, "left_anti")
 
 
 def not_null_violations(df: DataFrame, key: list[str], columns: list[str]) -> DataFrame:

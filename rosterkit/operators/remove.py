@@ -135,15 +135,17 @@ def delete_labels(t: Tables, ids: DataFrame, mode: str = "strict", ids_col: str
     if mode != "cascade":
         raise ValueError(f"mode must be 'strict' or 'cascade', not {mode!r}")
 
-    emp = t["Employee"].join(known.select(F.col("RecordLabelID").alias("RecordLabel_RecordLabelID")),
-                             "RecordLabel_RecordLabelID", "left_semi")
+    # a label employing a huge share of the staff is split (joins.join_to_unique)
+    emp = join_to_unique(t["Employee"], known.select(F.col("RecordLabelID").alias(
+        "RecordLabel_RecordLabelID")), "RecordLabel_RecordLabelID", "left_semi")
     links = t["RecordLabel_Collaboration"]
     # JN-8: an OR over two key columns becomes one equi semi join on the
     # unpivoted columns (no nested-loop join).
     touching = links.select(
         "Collaboration_CollaborationID",
         F.explode(F.array("RecordLabel_RecordLabelID1", "RecordLabel_RecordLabelID2"))
-        .alias("RecordLabelID")).join(known, "RecordLabelID", "left_semi")
+        .alias("RecordLabelID"))
+    touching = join_to_unique(touching, known, "RecordLabelID", "left_semi")
     collabs = touching.select(F.col("Collaboration_CollaborationID").alias("CollaborationID")).distinct()
     after_emp = with_tables(t, Employee=t["Employee"].join(
         emp.select("EmployeeID"), "EmployeeID", "left_anti"))
@@ -163,8 +165,9 @@ def delete_songs(t: Tables, ids: DataFrame, ids_col: str = "SongID") -> ChangeSe
     req = _ids(ids, ids_col, "SongID")
     known = req.join(t["Song"].select("SongID"), "SongID", "left_semi")
     not_found = rejects(req.join(known, "SongID", "left_anti"), "Song", "SongID", "Song not found")
-    collabs = t["Collaboration"].join(known.select(F.col("SongID").alias("Song_SongID")),
-                                      "Song_SongID", "left_semi").select("CollaborationID")
+    collabs = join_to_unique(t["Collaboration"].select("CollaborationID", "Song_SongID"),
+                             known.select(F.col("SongID").alias("Song_SongID")), "Song_SongID",
+                             "left_semi").select("CollaborationID")
     new_t, _, blocked = delete_closure(t, {"Song": known, "Collaboration": collabs})
     return ChangeSet(new_t, not_found, lazy_reports(deleted_collaborations=collabs, blocked=blocked))
 
@@ -186,10 +189,14 @@ def delete_contributors(t: Tables, ids: DataFrame, ids_col: str = "ContributorID
                         "ContributorID", "Contributor not found")
     by_contrib = known.select(F.col("ContributorID").alias("Contributor_ContributorID"))
 
-    cc = t["Collaboration_Contributor"]
-    touched_c = cc.join(by_contrib, "Contributor_ContributorID", "left_semi").select(
+    # one skew-safe flag join per link table (a deleted contributor may hold a
+    # huge share of the links); the semi and anti parts are filters on the flag
+    flag = by_contrib.withColumn("_gone", F.lit(True))
+    cc = join_to_unique(t["Collaboration_Contributor"], flag, "Contributor_ContributorID", "left")
+    gone_cc = F.col("_gone").isNotNull()
+    touched_c = cc.where(gone_cc).select(
         F.col("Collaboration_CollaborationID").alias("CollaborationID")).distinct()
-    remaining_cc = cc.join(by_contrib, "Contributor_ContributorID", "left_anti")
+    remaining_cc = cc.where(~gone_cc).drop("_gone")
     left_per_c = (remaining_cc.join(touched_c.select(
         F.col("CollaborationID").alias("Collaboration_CollaborationID")),
         "Collaboration_CollaborationID", "left_semi")
@@ -198,11 +205,10 @@ def delete_contributors(t: Tables, ids: DataFrame, ids_col: str = "ContributorID
     del_collabs = (touched_c.join(left_per_c, "CollaborationID", "left")
                    .where(F.coalesce(F.col("_left"), F.lit(0)) <= 1).select("CollaborationID"))
 
-    cs = t["Contributor_Song"]
-    touched_s = cs.join(by_contrib, "Contributor_ContributorID", "left_semi").select(
-        F.col("Song_SongID").alias("SongID")).distinct()
-    still_linked = (cs.join(by_contrib, "Contributor_ContributorID", "left_anti")
-                    .select(F.col("Song_SongID").alias("SongID")).distinct())
+    cs = join_to_unique(t["Contributor_Song"], flag, "Contributor_ContributorID", "left")
+    gone_cs = F.col("_gone").isNotNull()
+    touched_s = cs.where(gone_cs).select(F.col("Song_SongID").alias("SongID")).distinct()
+    still_linked = cs.where(~gone_cs).select(F.col("Song_SongID").alias("SongID")).distinct()
     empty_songs = touched_s.join(still_linked, "SongID", "left_anti")
     surviving_k = t["Collaboration"].join(del_collabs, "CollaborationID", "left_anti")
     used = surviving_k.where(F.col("Song_SongID").isNotNull()).select(
@@ -215,10 +221,8 @@ def delete_contributors(t: Tables, ids: DataFrame, ids_col: str = "ContributorID
     after = with_tables(t, Contributor=t["Contributor"].join(known, "ContributorID", "left_anti"))
     persons = _unused_persons(after, nifs)
 
-    links_cc = cc.join(by_contrib, "Contributor_ContributorID", "left_semi").select(
-        "Collaboration_CollaborationID", "Contributor_ContributorID")
-    links_cs = cs.join(by_contrib, "Contributor_ContributorID", "left_semi").select(
-        "Contributor_ContributorID", "Song_SongID")
+    links_cc = cc.where(gone_cc).select("Collaboration_CollaborationID", "Contributor_ContributorID")
+    links_cs = cs.where(gone_cs).select("Contributor_ContributorID", "Song_SongID")
     new_t, _, blocked = delete_closure(t, {
         "Contributor": known, "Collaboration_Contributor": links_cc, "Contributor_Song": links_cs,
         "Collaboration": del_collabs, "Song": del_songs, "Person": persons})

@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from ..functions.text import contains_ci, where_all
 from . import views
 from .changes import with_tables
+from .joins import join_to_unique
 
 Tables = dict[str, DataFrame]
 
@@ -59,8 +60,9 @@ def search_employees(t: Tables, *, nif=None, name=None, job_title=None, departme
 
 def _restrict(t: Tables, table: str, keys: DataFrame, key_col: str, on: str) -> Tables:
     """Copy of ``t`` with ``table`` reduced to rows whose ``on`` is in ``keys``."""
-    return with_tables(t, **{table: t[table].join(
-        keys.select(F.col(key_col).alias(on)).distinct(), on, "left_semi")})
+    # a parent holding a huge share of the link rows is split (joins.join_to_unique)
+    return with_tables(t, **{table: join_to_unique(
+        t[table], keys.select(F.col(key_col).alias(on)).distinct(), on, "left_semi")})
 
 
 def search_songs(t: Tables, *, title=None, min_duration=None, max_duration=None,

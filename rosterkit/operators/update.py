@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from ..sources.schema import SCHEMAS
 from .changes import ChangeSet, rejects, union_all, with_tables
 from .ingest import assign_roles, collaboration_children, song_children
+from .joins import join_to_unique
 
 Tables = dict[str, DataFrame]
 
@@ -41,7 +42,7 @@ def overwrite(target: DataFrame, accepted: DataFrame, key: str, columns: dict[st
     rk = req_key or key
     r = accepted.select(F.col(rk).alias("_uk"), F.lit(True).alias("_hit"),
                         *[F.col(src).alias(f"_u_{dst}") for dst, src in columns.items()])
-    j = target.join(r, target[key] == r["_uk"], "left")
+    j = target.join(r, F.col(key) == F.col("_uk"), "left")
     out = [F.when(F.col("_hit"), F.col(f"_u_{c}")).otherwise(F.col(c)).cast(dt).alias(c)
            if c in columns else F.col(c)
            for c, dt in ((f.name, f.dataType) for f in target.schema.fields)]
@@ -90,8 +91,9 @@ def update_songs(t: Tables, req: DataFrame, as_of=None) -> ChangeSet:
     genres, links, link_rej = song_children(t, accepted, as_of)
     new_t = with_tables(
         t, Song=song,
-        Song_Genre=t["Song_Genre"].join(changed, "Song_SongID", "left_anti").unionByName(genres),
-        Contributor_Song=t["Contributor_Song"].join(changed, "Song_SongID", "left_anti")
+        Song_Genre=join_to_unique(t["Song_Genre"], changed, "Song_SongID", "left_anti")
+        .unionByName(genres),
+        Contributor_Song=join_to_unique(t["Contributor_Song"], changed, "Song_SongID", "left_anti")
         .unionByName(links))
     return ChangeSet(new_t, rej.unionByName(link_rej), {"updated": accepted})
 
@@ -122,7 +124,7 @@ def rekey_persons(t: Tables, mapping: DataFrame, old_col: str = "OldNIF",
     mp = accepted.select(F.col("OldNIF").alias("_old"), F.col("NewNIF").alias("_new"))
 
     def carry(df: DataFrame, col: str) -> DataFrame:
-        j = df.join(mp, df[col] == mp["_old"], "left")
+        j = df.join(mp, F.col(col) == F.col("_old"), "left")
         return j.select(*[F.coalesce(F.col("_new"), F.col(c)).alias(c) if c == col else F.col(c)
                           for c in df.columns])
 
@@ -181,8 +183,8 @@ def update_contributors(t: Tables, req: DataFrame, reset_stage_name: bool = Fals
             t2 = with_tables(t2, **{role: kept.unionByName(rows)})
         # genres of artists whose artist role is removed cascade away
         artists = t2["Artist"].select(F.col("Contributor_ContributorID").alias("Artist_ContributorID"))
-        t2 = with_tables(t2, Artist_Genre=t2["Artist_Genre"].join(artists, "Artist_ContributorID",
-                                                                   "left_semi"))
+        t2 = with_tables(t2, Artist_Genre=join_to_unique(t2["Artist_Genre"], artists,
+                                                         "Artist_ContributorID", "left_semi"))
     return ChangeSet(t2, union_all(rej_all), {"updated": accepted})
 
 
@@ -241,8 +243,10 @@ def update_collaborations(t: Tables, req: DataFrame) -> ChangeSet:
     rej_all.append(child_rej)
     new_t = with_tables(
         t, Collaboration=k,
-        RecordLabel_Collaboration=t["RecordLabel_Collaboration"].join(
-            changed, "Collaboration_CollaborationID", "left_anti").unionByName(label_links),
-        Collaboration_Contributor=t["Collaboration_Contributor"].join(
-            changed, "Collaboration_CollaborationID", "left_anti").unionByName(contrib_links))
+        RecordLabel_Collaboration=join_to_unique(
+            t["RecordLabel_Collaboration"], changed, "Collaboration_CollaborationID", "left_anti")
+        .unionByName(label_links),
+        Collaboration_Contributor=join_to_unique(
+            t["Collaboration_Contributor"], changed, "Collaboration_CollaborationID", "left_anti")
+        .unionByName(contrib_links))
     return ChangeSet(new_t, union_all(rej_all), {"updated": accepted})
