@@ -20,7 +20,6 @@ from pyspark.sql import functions as F
 from ..functions.text import contains_ci, where_all
 from . import views
 from .changes import with_tables
-from .joins import join_to_unique
 
 Tables = dict[str, DataFrame]
 
@@ -59,10 +58,17 @@ def search_employees(t: Tables, *, nif=None, name=None, job_title=None, departme
 
 
 def _restrict(t: Tables, table: str, keys: DataFrame, key_col: str, on: str) -> Tables:
-    """Copy of ``t`` with ``table`` reduced to rows whose ``on`` is in ``keys``."""
-    # a parent holding a huge share of the link rows is split (joins.join_to_unique)
-    return with_tables(t, **{table: join_to_unique(
-        t[table], keys.select(F.col(key_col).alias(on)).distinct(), on, "left_semi")})
+    """Copy of ``t`` with ``table`` reduced to rows whose ``on`` is in ``keys``.
+
+    A plain semi join against the distinct matching parents: the point is
+    to skip rolling up links of parents the search drops, so it must not
+    first count the whole link table per key (the hot-key split would).
+    A selective search yields a small key set, which Spark's runtime size
+    check broadcasts (no skew in a broadcast join); the roll-up joins
+    after it split hot keys as usual.
+    """
+    return with_tables(t, **{table: t[table].join(
+        keys.select(F.col(key_col).alias(on)).distinct(), on, "left_semi")})
 
 
 def search_songs(t: Tables, *, title=None, min_duration=None, max_duration=None,
