@@ -66,13 +66,13 @@ def join_to_unique(big: DataFrame, unique: DataFrame, on: str | list[str], how:
     max_buckets = max_buckets or _setting(big, CONF_MAX_BUCKETS, MAX_BUCKETS)
     hot = hot_keys(big, keys, hot_rows, max_buckets)
 
-    b = big.join(hot, keys, "left")
+    # each step is one projection, so the plan stays small for the analyzer
     row_hash = F.xxhash64(*[F.col(c) for c in big.columns])
-    b = b.withColumn("_bucket", F.when(F.col("_buckets").isNull(), F.lit(0))
-                     .otherwise(F.pmod(row_hash, F.col("_buckets")).cast("int"))).drop("_buckets")
-
-    u = unique.join(hot, keys, "left")
-    u = u.withColumn("_bucket", F.explode(
-        F.when(F.col("_buckets").isNull(), F.array(F.lit(0)))
-        .otherwise(F.sequence(F.lit(0), F.col("_buckets") - 1)))).drop("_buckets")
+    b = big.join(hot, keys, "left").select(
+        *big.columns, F.when(F.col("_buckets").isNull(), F.lit(0))
+        .otherwise(F.pmod(row_hash, F.col("_buckets")).cast("int")).alias("_bucket"))
+    u = unique.join(hot, keys, "left").select(
+        *unique.columns, F.explode(F.when(F.col("_buckets").isNull(), F.array(F.lit(0)))
+                                   .otherwise(F.sequence(F.lit(0), F.col("_buckets") - 1)))
+        .alias("_bucket"))
     return b.join(u, keys + ["_bucket"], how).drop("_bucket")
