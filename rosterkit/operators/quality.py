@@ -37,7 +37,7 @@ def unique_violations(df: DataFrame, col: str, nulls_distinct: bool = True,
     """QC-2: non-NULL values of ``col`` held by more than one row.
 
     With ``nulls_distinct=False`` several NULLs also count as a clash
-    (SQL Server lets a unique column hold one NULL).
+    (engines that allow a single NULL in a unique column).
     """
     src = df.where(F.col(col).isNotNull()) if nulls_distinct else df
     return (src.groupBy(F.col(col).alias(value_name)).agg(F.count(F.lit(1)).alias("n"))
