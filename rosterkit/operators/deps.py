@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import views
+from .changes import empty_rejects, rejects
 
 Tables = dict[str, DataFrame]
 
@@ -38,12 +39,11 @@ def label_dependencies(t: Tables, ids: DataFrame | None = None, side: str = "id2
     """DEP-1: (counts for known labels, rejects for unknown ids)."""
     counts = views.label_dependencies(t, side=side)
     if ids is None:
-        return counts, _empty_rejects(counts)
+        return counts, empty_rejects(counts.sparkSession)
     req = ids.select(F.col(ids_col).alias("RecordLabelID")).distinct()
     known = counts.join(req, "RecordLabelID", "left_semi")
-    unknown = req.join(counts.select("RecordLabelID"), "RecordLabelID", "left_anti").select(
-        F.lit("RecordLabel").alias("entity"), F.col("RecordLabelID").cast("string").alias("key"),
-        F.lit("RecordLabel not found").alias("reason"))
+    unknown = rejects(req.join(counts.select("RecordLabelID"), "RecordLabelID", "left_anti"),
+                      "RecordLabel", "RecordLabelID", F.lit("RecordLabel not found"))
     return known, unknown
 
 
@@ -97,6 +97,3 @@ def collaboration_label_members(links: DataFrame) -> DataFrame:
         F.explode(F.array("RecordLabel_RecordLabelID1", "RecordLabel_RecordLabelID2"))
         .alias("LabelID")).distinct()
 
-
-def _empty_rejects(df: DataFrame) -> DataFrame:
-    return df.sparkSession.createDataFrame([], "entity STRING, key STRING, reason STRING")
