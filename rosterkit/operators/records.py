@@ -33,6 +33,9 @@ def to_records(df: DataFrame, entity: str) -> DataFrame:
         if f.name in _EMPTY_TEXT.get(entity, ()):
             c = F.coalesce(c, F.lit(""))
         out.append(c.alias(f.name))
+        if entity == "employee" and f.name == "Salary":
+            # SC-13: the amount as shown to users, two decimals, no grouping
+            out.append(F.col("Salary").cast("decimal(38,2)").cast("string").alias("SalaryText"))
     return df.select(*out)
 
 

@@ -225,3 +225,9 @@ def test_song_catalog_with_hot_song(spark, loaded):
         spark.conf.unset("rosterkit.skew.hotRows")
     assert len(rows) == 601
     assert {r.Genres for r in rows} == {"Acoustic, Indie"}
+
+
+def test_employee_records_salary_text(loaded):
+    r = {x.EmployeeID: x for x in
+         records.to_records(views.employee_directory(loaded), "employee").collect()}
+    assert r[1].SalaryText == "75000.00" and r[1].HireDate == "2023-01-15"
