@@ -231,3 +231,60 @@ def test_employee_records_salary_text(loaded):
     r = {x.EmployeeID: x for x in
          records.to_records(views.employee_directory(loaded), "employee").collect()}
     assert r[1].SalaryText == "75000.00" and r[1].HireDate == "2023-01-15"
+
+
+# ------------------------------------------------------------------ creates and updates
+
+LABEL_REQ = "seq BIGINT, Name STRING, Location STRING, Website STRING, Email STRING, PhoneNumber STRING"
+
+
+def test_create_labels_rejects(spark, loaded):
+    req = spark.createDataFrame([
+        (1, "New One", None, "https://n1", "a@x", "+1"),
+        (2, "Nova Tunes", None, "https://n2", "b@x", "+2"),      # name already stored
+        (3, "Twin", None, "https://n3", "c@x", "+3"),
+        (4, "Twin", None, "https://n4", "d@x", "+4"),            # repeats seq 3
+        (5, "No Mail", None, "https://n5", "", "+5")], LABEL_REQ)  # required field missing
+    out = ingest.create_labels(loaded, req)
+    assert sorted((r.RecordLabelID, r.Name) for r in out.reports["created"].collect()) == [
+        (6, "New One"), (7, "Twin")]
+    assert sorted((r.seq, r.reason) for r in out.rejects.collect()) == [
+        (2, "Name already exists"), (4, "duplicate Name in batch"),
+        (5, "Missing required fields: Email")]
+
+
+def test_create_songs_links_and_unknown_nifs(spark, loaded):
+    req = spark.createDataFrame([(1, "Tune", 100, None, "Pop, ,Pop", "P001, P404")],
+                                "seq BIGINT, Title STRING, Duration INT, ReleaseDate DATE, "
+                                "Genres STRING, Contributors STRING")
+    out = ingest.create_songs(loaded, req, as_of=dt.date(2024, 1, 1))
+    assert [tuple(r) for r in out.reports["genres"].collect()] == [(10, "Pop")]
+    assert [tuple(r) for r in out.reports["links"].collect()] == [(1, 10, dt.date(2024, 1, 1))]
+    assert [r.reason for r in out.rejects.collect()] == ["unknown NIF P404"]
+
+
+def test_update_contributor_rekey_and_roles(spark, loaded):
+    req = spark.createDataFrame([(1, 2, "Q002", "Bruno Mars", "Producer")],
+                                "seq BIGINT, ContributorID BIGINT, NIF STRING, Name STRING, Roles STRING")
+    t = update.update_contributors(loaded, req).tables
+    assert col(t["Contributor"].where("ContributorID = 2"), "Person_NIF") == ["Q002"]
+    assert "Q002" in col(t["Person"], "NIF") and "P002" not in col(t["Person"], "NIF")
+    assert 2 not in col(t["Artist"], "Contributor_ContributorID")
+    assert 2 in col(t["Producer"], "Contributor_ContributorID")
+    assert 2 not in col(t["Artist_Genre"], "Artist_ContributorID")
+
+
+def test_update_employees_rejects(spark, loaded):
+    req = spark.createDataFrame([
+        (1, 1, "Boss", None, Decimal("1.00"), dt.date(2024, 1, 1), 1),
+        (2, 2, "Boss", None, Decimal("-5.00"), dt.date(2024, 1, 1), 1),
+        (3, 3, "Boss", None, Decimal("5.00"), dt.date(2024, 1, 1), 99),
+        (4, 42, "Boss", None, Decimal("5.00"), dt.date(2024, 1, 1), 1)],
+        "seq BIGINT, EmployeeID BIGINT, JobTitle STRING, Department STRING, Salary DECIMAL(10,2), "
+        "HireDate DATE, RecordLabelID INT")
+    out = update.update_employees(loaded, req)
+    assert sorted(r.reason for r in out.rejects.collect()) == [
+        "Employee not found", "RecordLabel not found", "Salary must not be negative"]
+    e = {r.EmployeeID: r for r in out.tables["Employee"].collect()}
+    assert e[1].JobTitle == "Boss" and e[1].Salary == Decimal("1.00")
+    assert e[2].JobTitle == "Sound Engineer"
