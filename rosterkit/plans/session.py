@@ -65,3 +65,27 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     folder = tempfile.mkdtemp(prefix="rosterkit-ckpt-", dir="/tmp")
     sc.setCheckpointDir(folder)
     return sc.getCheckpointDir() or folder
+
+
+def scale_settings(input_bytes: int, total_cores: int,
+                   partition_bytes: int = 256 * 1024 * 1024) -> dict[str, str]:
+    """Shuffle and scan settings sized for the input, for a cluster session.
+
+    Shuffle partitions start at about one per ``partition_bytes`` of input
+    (never fewer than two waves of tasks), so a hash partition of a full
+    fact-sized shuffle stays near that size and fits an executor's memory
+    without spilling much; AQE then coalesces small partitions to the same
+    advisory size and splits skewed ones above five times the median.
+    Scans read ``partition_bytes`` per task.  At 100 TB and 256 MB that is
+    about 400,000 shuffle partitions before coalescing.
+    """
+    partitions = max(2 * total_cores, -(-input_bytes // partition_bytes))
+    size = str(partition_bytes)
+    return {
+        "spark.sql.shuffle.partitions": str(partitions),
+        "spark.sql.files.maxPartitionBytes": size,
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": size,
+        "spark.sql.adaptive.coalescePartitions.minPartitionSize": str(partition_bytes // 8),
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "5",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(4 * partition_bytes),
+    }
