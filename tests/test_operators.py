@@ -288,3 +288,18 @@ def test_update_employees_rejects(spark, loaded):
     e = {r.EmployeeID: r for r in out.tables["Employee"].collect()}
     assert e[1].JobTitle == "Boss" and e[1].Salary == Decimal("1.00")
     assert e[2].JobTitle == "Sound Engineer"
+
+
+def test_assign_ids_stable_across_actions(spark):
+    batch = spark.range(500).select((F.col("id") * 7 % 500).alias("seq")).repartition(5)
+    out = ids.assign_ids(batch, "id", ["seq"], 0, num_partitions=4)
+    first = sorted(map(tuple, out.collect()))
+    assert first == sorted(map(tuple, out.collect()))
+    assert [i for _, i in sorted(first)] == list(range(1, 501))
+
+
+def test_scale_settings():
+    from rosterkit.plans import scale_settings
+    s = scale_settings(100 * 2 ** 40, 8000)
+    assert s["spark.sql.shuffle.partitions"] == "409600"
+    assert scale_settings(10 ** 6, 8)["spark.sql.shuffle.partitions"] == "16"
