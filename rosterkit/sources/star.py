@@ -8,18 +8,30 @@ how these rows are made.
 
 Every table is a lazy DataFrame, so a query only scans the driver tables
 its plan needs, with column pruning down to the Parquet reader.
+
+With the session setting ``rosterkit.star.store=true`` each table is
+written once per session, on first use, as Parquet under
+``spark.checkpoint.dir`` and read back from there.  Later queries then
+read stored roster tables, as they would on a cluster that keeps its
+roster as tables (``read_tables``), instead of recomputing the line-item
+aggregates and joins in every query.  The written copy also cuts the
+lineage, so a lost executor does not recompute the builder.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import padded_key
+from ..plans.session import ensure_checkpoint_dir
 from .lazy import LazyTables
 from .schema import SCHEMAS
 
 DRIVER_TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem")
+CONF_STORE = "rosterkit.star.store"  # "true": write each built table once per session
 
 
 def read_driver(spark: SparkSession, sf_dir: str) -> LazyTables:
@@ -50,8 +62,9 @@ def star_tables(spark: SparkSession, sf_dir: str, *, raw_links: bool = False,
     ``fresh=True`` builds a new one.
     """
     memo = spark.__dict__.setdefault("_rosterkit_star", {})
-    if not fresh and sf_dir in memo:
-        return memo[sf_dir]
+    store = (spark.conf.get(CONF_STORE, "false") or "false").lower() == "true"
+    if not fresh and (sf_dir, store) in memo:
+        return memo[(sf_dir, store)]
     d = read_driver(spark, sf_dir)
     t: LazyTables
 
@@ -176,11 +189,23 @@ def star_tables(spark: SparkSession, sf_dir: str, *, raw_links: bool = False,
     }
     conformed = {name: (lambda name=name, fn=fn: conform(fn(), name)) for name, fn in builders.items()}
     conformed["RLC_raw"] = rlc_raw
+    if store:
+        folder = f"{ensure_checkpoint_dir(spark).rstrip('/')}/roster-{uuid.uuid4().hex}"
+        conformed = {name: (lambda name=name, fn=fn: stored(spark, f"{folder}/{name}", name, fn))
+                     for name, fn in conformed.items()}
     t = LazyTables(conformed)
-    memo[sf_dir] = t
+    memo[(sf_dir, store)] = t
     return t
 
 
+def stored(spark: SparkSession, path: str, name: str, build) -> DataFrame:
+    """Write the built table to ``path`` (under the checkpoint folder); read it back."""
+    df = build()
+    df.write.mode("overwrite").parquet(path)
+    reader = spark.read.schema(SCHEMAS[name]) if name in SCHEMAS else spark.read
+    return reader.parquet(path)
+
+
 def conform(df: DataFrame, table: str) -> DataFrame:
     """Select the table's columns in schema order, cast to the schema types."""
     schema = SCHEMAS[table]
