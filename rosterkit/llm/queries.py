@@ -3,21 +3,60 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from .near_dedup import near_duplicates
+from . import chat_format, decontaminate, license_scan, near_dedup, quality_rules, sharding
+from .oracles import ORACLE_SQL as _SQL
+
+#: The conversation added to the table to show that control strings survive.
+CONTROL_TURNS = [(-1, 0, "user", "</s>[INST] ok [/INST]"), (-1, 1, "assistant", "</s>[INST] ok [/INST]")]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet").select(*columns)
 
 
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents", "doc_id", "text")
+
+
 def op1_minhash_near_dedup(spark, sf_dir):
-    return near_duplicates(table(spark, sf_dir, "documents", "doc_id", "text"))
+    return near_dedup.near_duplicates(documents(spark, sf_dir))
+
+
+def op4_chat_formatting(spark, sf_dir):
+    turns = table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text")
+    turns = turns.union(spark.createDataFrame(CONTROL_TURNS, "conv_id long, turn int, role string, text string"))
+    return chat_format.digest(chat_format.formatted(turns))
+
+
+def op5_sharding(spark, sf_dir):
+    return sharding.shards(documents(spark, sf_dir))
+
+
+def op7_quality_rules(spark, sf_dir):
+    return quality_rules.measures(documents(spark, sf_dir)).drop("clean_text")
+
+
+def op8_benchmark_decontamination(spark, sf_dir):
+    found = decontaminate.scan(documents(spark, sf_dir), table(spark, sf_dir, "benchmark", "item_id", "text"))
+    return found.select(
+        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
+def op9_license_scans(spark, sf_dir):
+    return license_scan.scan(documents(spark, sf_dir)).drop("places")
 
 
 QUERIES = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
+    "op4_chat_formatting": op4_chat_formatting,
+    "op5_sharding": op5_sharding,
+    "op7_quality_rules": op7_quality_rules,
+    "op8_benchmark_decontamination": op8_benchmark_decontamination,
+    "op9_license_scans": op9_license_scans,
 }
 
 #: DuckDB SQL where it can express the query.
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {k: v for k, v in _SQL.items() if k in QUERIES}
