@@ -1,29 +1,37 @@
 """MinHash near-dedup: fast similarity sketching, banding, exact verification.
 
-A document's set is its distinct five-word shingles.  The sketch has
-``bins`` coordinates and is filled in rounds: in round i < bins every
-element is hashed to one bin with a value in [i, i+1); in round bins + j
-every element goes to bin j; each bin keeps its least value and a document
-stops after the first round that leaves no bin empty.  Every coordinate is
-therefore filled, equal coordinates have probability J, and the number of
-equal ones is as concentrated as with independent functions.
-
-Documents with the same set are one class and are sketched once.  The
-coordinates are cut in bands; classes that share a band are candidates, and
-a candidate counts only if the full sets confirm it in integers.  No pair
-list of a bucket is ever made: first each bucket member is checked against
-the bucket's least member, the confirmed links are closed to components,
-and only pairs of one bucket whose components still differ are checked
-after that.  A pair inside one component needs no check, so the components
-are those of checking every candidate pair.
+A document's set is its distinct five-word shingles.  The sketch has ``BINS``
+coordinates and is filled in rounds: in round i < BINS every element is
+hashed to one bin with a value in [i, i+1); in round BINS + j every element
+goes to bin j; each bin keeps its least value and a document stops after
+the first round that leaves no bin empty.  Every coordinate is therefore
+filled, equal coordinates have probability J, and the number of equal ones
+is as concentrated as with independent functions.
+
+Documents with the same set are one class and are sketched once.  The first
+coordinates are cut in bands; classes that share a band are candidates.  A
+candidate whose sketches (one bit of every coordinate) are far beyond the
+threshold's distance is left out, every other one is confirmed on the full
+sets in integers.  No pair list of a bucket is made at once:
+
+1. each bucket member is checked against the bucket's least member;
+2. in buckets that still hold several components, against the member that
+   has the most links so far;
+3. only pairs of one bucket whose components still differ are checked after
+   that.  A pair inside one component needs no check, so the components are
+   those of checking every candidate pair.
 
 A pair at the threshold shares a band with probability 1 - (1 - 0.75**rows)
-** bands: with 40 bands of 4 rows, 2.5 in ten million such pairs are not
-proposed, and fewer above the threshold.
+** bands (with 40 bands of 4 rows all but 2.5 in ten million) and stays
+within ``SIGMAS`` standard deviations of its sketch distance (all but about
+three in a million).
 """
 
 from __future__ import annotations
 
+import math
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -37,6 +45,8 @@ WORDS = 5
 PERCENT = 75
 BANDS = 40
 ROWS = 4
+BINS = 1024
+SIGMAS = 4.5
 
 _SEED = 0x2545F4914F6CDD1D
 
@@ -102,6 +112,15 @@ def bands_of(table: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return out
 
 
+def bits_of(table: np.ndarray) -> list[pa.Array]:
+    """The lowest bit of each coordinate, 64 to a long column."""
+    packed = np.packbits((table & np.uint64(1)).astype(np.uint8), axis=1).view(np.int64)
+    return [pa.array(np.ascontiguousarray(packed[:, k])) for k in range(packed.shape[1])]
+
+
+BITS = [f"_b{k}" for k in range(BINS // 64)]
+
+
 def _features(words: int, bands: int, rows: int):
     def run(batches):
         for whole in batches:
@@ -114,13 +133,13 @@ def _features(words: int, bands: int, rows: int):
                     begin = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
                     one[row[begin]] = np.add.reduceat(mix(value), begin)
                     two[row[begin]] = np.add.reduceat(mix(value ^ _odd(1)), begin)
-                keys = bands_of(sketch(row, value, n, bands * rows), bands, rows)
-                keys = keys[size > 0]
+                table = sketch(row, value, n, BINS)
+                keys = bands_of(table, bands, rows)[size > 0]
                 offsets = np.r_[0, np.cumsum(np.where(size > 0, bands, 0))].astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("_id"), pa.array(size.astype(np.int64)), as_long(one), as_long(two),
-                     pa.ListArray.from_arrays(pa.array(offsets), as_long(keys.reshape(-1)))],
-                    names=["_id", "n_shingles", "_one", "_two", "_bands"])
+                     pa.ListArray.from_arrays(pa.array(offsets), as_long(keys.reshape(-1))), *bits_of(table)],
+                    names=["_id", "n_shingles", "_one", "_two", "_bands", *BITS])
     return run
 
 
@@ -146,70 +165,106 @@ def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         F.size("_x") + F.size("_y") - F.col("_shared"))).select("a", "b")
 
 
+def _near(percent: int):
+    """Could rows x and y be linked, by set sizes (exact) and sketch distance (``SIGMAS``)?"""
+    j = percent / 100
+    far = BINS * (1 - j) / 2 + SIGMAS * math.sqrt(BINS * (1 + j) * (1 - j)) / 2
+    apart = reduce(lambda p, q: p + q, [F.bit_count(F.col(f"x.{b}").bitwiseXOR(F.col(f"y.{b}"))) for b in BITS])
+    x, y = F.col("x.n_shingles"), F.col("y.n_shingles")
+    return (F.lit(100) * F.least(x, y) >= F.lit(percent) * F.greatest(x, y)) & (apart <= F.lit(int(far)))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                     words: int = WORDS, percent: int = PERCENT, bands: int = BANDS,
                     rows: int = ROWS, scratch: Scratch | None = None) -> DataFrame:
     """Per document: ``id_col``, ``n_shingles``, ``component_id``, ``kept``, ``n_copies``.
 
     ``component_id`` is the least id reachable over links of at least
-    ``percent`` % similarity; ``kept`` marks that document.  Documents
-    without words (null, empty or blank text) have an empty set, link with
-    nothing and are kept.  Rows that repeat an id each come back with the
-    id's component.  Other columns of ``docs`` are not looked at, whatever
-    their names.  A null id is a document of its own: it takes part in no
-    link and comes back with a null component, kept.
+    ``percent`` % similarity; ``kept`` marks that document; ``n_copies``
+    counts the documents with the same set.  Documents without words (null,
+    empty or blank text) have an empty set, link with nothing and are kept.
+    Repeated rows of an id each come back with the id's component.  Other
+    columns of ``docs`` are not looked at, whatever their names.  A row
+    with a null id takes part in no link and comes back with a null
+    component, kept.
     """
     scratch = scratch or Scratch(docs.sparkSession, "near-dedup")
     texts = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("_text"))
+    sketch_type = ", ".join(f"{b} long" for b in BITS)
     features = scratch.keep(texts.mapInArrow(
         _features(words, bands, rows),
-        "_id long, n_shingles long, _one long, _two long, _bands array<long>"), "features")
+        f"_id long, n_shingles long, _one long, _two long, _bands array<long>, {sketch_type}"), "features")
 
     key = ["n_shingles", "_one", "_two"]
     full = features.where("n_shingles > 0 and _id is not null")
     classes = scratch.keep(full.groupBy(*key).agg(
         F.min("_id").alias("rep"), F.count(F.lit(1)).alias("n_copies")), "classes")
-    # one row per class: its least document carries the bands (repeated rows of it collapse)
+    # one row per class: its least document carries the sketch (repeated rows of it collapse)
     reps = full.join(classes.select("rep"), full["_id"] == F.col("rep"), "left_semi") \
         .dropDuplicates(["_id", *key])
-    banded = reps.select("_id", "n_shingles", F.explode("_bands").alias("band"))
+    banded = reps.select("_id", F.explode("_bands").alias("band"))
     hubs = scratch.keep(banded.groupBy("band").agg(
         F.min("_id").alias("hub"), F.count(F.lit(1)).alias("members")).where("members > 1")
         .select("band", "hub"), "hubs")
     members = scratch.keep(banded.join(hubs, "band"), "members")
-
-    near_size = F.lit(100) * F.least("na", "nb") >= F.lit(percent) * F.greatest("na", "nb")
-    sizes = reps.select(F.col("_id").alias("a"), F.col("n_shingles").alias("na"))
-    first = members.where("_id <> hub").select(F.col("hub").alias("a"), F.col("_id").alias("b"),
-                                               F.col("n_shingles").alias("nb")).distinct()
-    first = scratch.keep(first.join(sizes, "a").where(near_size).select("a", "b").distinct(), "first")
     wanted = members.select("_id").distinct()
-    sets = scratch.keep(texts.where("_id is not null").join(wanted, "_id", "left_semi").mapInArrow(
+    sketches = scratch.keep(reps.drop("_bands", "_one", "_two").join(wanted, "_id", "left_semi"), "sketches")
+    sets = scratch.keep(texts.join(wanted, "_id", "left_semi").mapInArrow(
         _set_rows(words), "_id long, _set array<long>").dropDuplicates(["_id"]), "sets")
-    links = scratch.keep(_confirm(first, sets, percent), "links")
-    merged = components(links, scratch, "merged")
-
-    # only buckets whose members are still in several components can hold another link
-    placed = scratch.keep(members.join(merged, F.col("_id") == F.col("node"), "left").select(
-        "band", "_id", "n_shingles", F.coalesce("component", "_id").alias("part")), "placed")
-    mixed = scratch.keep(placed.groupBy("band").agg(
-        F.min("part").alias("low"), F.max("part").alias("high"))
-        .where("low < high").select("band"), "mixed")
-    split = scratch.keep(placed.join(mixed, "band"), "split")
-    x = split.select("band", F.col("_id").alias("a"), F.col("n_shingles").alias("na"), F.col("part").alias("pa"))
-    y = split.select("band", F.col("_id").alias("b"), F.col("n_shingles").alias("nb"), F.col("part").alias("pb"))
-    second = x.join(y, "band").where((F.col("pa") < F.col("pb")) & near_size).select(
-        F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct() \
-        .join(first, ["a", "b"], "left_anti")
-    more = scratch.keep(_confirm(second, sets, percent), "more")
-    closed = components(links.union(more), scratch, "closed")
+
+    def near(pairs: DataFrame) -> DataFrame:
+        """Pairs (a, b), a < b, that size and sketch leave open."""
+        return pairs.join(sketches.alias("x"), F.col("a") == F.col("x._id")) \
+            .join(sketches.alias("y"), (F.col("b") == F.col("y._id")) & _near(percent)).select("a", "b")
+
+    def confirmed(pairs: DataFrame, name: str) -> DataFrame:
+        return scratch.keep(_confirm(pairs, sets, percent), name)
+
+    first = members.where("_id <> hub").select(F.col("hub").alias("a"), F.col("_id").alias("b")).distinct()
+    links = confirmed(near(first), "links")
+    placed = _placed(members.select("band", "_id"), links, scratch, "one")
+
+    # buckets still in several components: against their best linked member
+    degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(
+        F.count(F.lit(1)).alias("degree"))
+    ranked = placed.join(degree, F.col("_id") == F.col("node"), "left").select(
+        "band", "part", F.struct(F.coalesce("degree", F.lit(0)).alias("degree"), (-F.col("_id")).alias("minus"),
+                                 F.col("part").alias("part")).alias("rank"))
+    best = scratch.keep(_mixed(ranked, F.max("rank").alias("best")).select(
+        "band", (-F.col("best.minus")).alias("best"), F.col("best.part").alias("best_part")), "best")
+    second = placed.join(best, "band").where("part <> best_part").select(
+        F.least("_id", "best").alias("a"), F.greatest("_id", "best").alias("b")).distinct()
+    links = links.union(confirmed(near(second), "links-two"))
+    placed = _placed(members.select("band", "_id"), links, scratch, "two")
+
+    # what is left: pairs of one bucket in different components
+    mixed = scratch.keep(_mixed(placed), "mixed")
+    split = scratch.keep(placed.join(mixed, "band").join(sketches, "_id"), "split")
+    rest = split.alias("x").join(split.alias("y"), (F.col("x.band") == F.col("y.band"))
+                                 & (F.col("x.part") < F.col("y.part")) & _near(percent)).select(
+        F.least("x._id", "y._id").alias("a"), F.greatest("x._id", "y._id").alias("b")).distinct()
+    links = links.union(confirmed(rest, "links-three"))
+    closed = components(links, scratch, "closed")
 
     found = classes.join(closed, F.col("rep") == F.col("node"), "left").select(
         *key, "n_copies", F.coalesce("component", "rep").alias("component_id"))
     found = scratch.keep(found, "found")
-    out = features.drop("_bands").join(found, key, "left").select(
+    out = features.select("_id", *key).join(found, key, "left").select(
         F.col("_id").alias(id_col), "n_shingles",
         F.when(F.col("_id").isNotNull(), F.coalesce("component_id", "_id")).alias("component_id"),
         F.when(F.col("_id").isNotNull(), F.coalesce("n_copies", F.lit(1))).otherwise(F.lit(1)).alias("n_copies"))
     return out.select(id_col, "n_shingles", "component_id",
                       F.coalesce(F.col(id_col) == F.col("component_id"), F.lit(True)).alias("kept"), "n_copies")
+
+
+def _placed(members: DataFrame, links: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+    """(band, _id, part): the bucket members with their component so far."""
+    merged = components(links, scratch, name)
+    return scratch.keep(members.join(merged, F.col("_id") == F.col("node"), "left").select(
+        "band", "_id", F.coalesce("component", "_id").alias("part")), f"placed-{name}")
+
+
+def _mixed(placed: DataFrame, *more) -> DataFrame:
+    """The bands whose members are in several components."""
+    found = placed.groupBy("band").agg(F.min("part").alias("low"), F.max("part").alias("high"), *more)
+    return found.where("low < high").drop("low", "high")
