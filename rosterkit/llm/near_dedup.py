@@ -268,3 +268,17 @@ def _mixed(placed: DataFrame, *more) -> DataFrame:
     """The bands whose members are in several components."""
     found = placed.groupBy("band").agg(F.min("part").alias("low"), F.max("part").alias("high"), *more)
     return found.where("low < high").drop("low", "high")
+
+
+def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """One document of each near-duplicate group, all columns: the one with the least id.
+
+    Repeated rows of a kept id are one row; rows with a null id all stay.
+    """
+    names = docs.columns
+    rows = docs.toDF(*[f"_c{i}" for i in range(len(names))])
+    key = f"_c{names.index(id_col)}"
+    kept = near_duplicates(docs, id_col, text_col, **options).where("kept").select(
+        F.col(id_col).cast("long").alias("_kept")).where("_kept is not null")
+    one = rows.join(kept, F.col(key).cast("long") == F.col("_kept"), "left_semi").dropDuplicates([key])
+    return one.unionByName(rows.where(F.col(key).isNull())).toDF(*names)

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontaminate, license_scan, near_dedup, quality_rules, sharding
+from . import (chat_format, decontaminate, license_scan, mixing, near_dedup, quality_classifier, quality_rules,
+               sharding, substring_dedup, toxicity)
 from .oracles import ORACLE_SQL as _SQL
 
 #: The conversation added to the table to show that control strings survive.
@@ -24,6 +25,14 @@ def op1_minhash_near_dedup(spark, sf_dir):
     return near_dedup.near_duplicates(documents(spark, sf_dir))
 
 
+def op2_source_mixing(spark, sf_dir):
+    return mixing.mixed(table(spark, sf_dir, "documents", "doc_id", "source"))
+
+
+def op3_quality_classifier(spark, sf_dir):
+    return quality_classifier.scores(documents(spark, sf_dir), table(spark, sf_dir, "labels", "doc_id", "quality"))
+
+
 def op4_chat_formatting(spark, sf_dir):
     turns = table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text")
     turns = turns.union(spark.createDataFrame(CONTROL_TURNS, "conv_id long, turn int, role string, text string"))
@@ -34,6 +43,10 @@ def op5_sharding(spark, sf_dir):
     return sharding.shards(documents(spark, sf_dir))
 
 
+def op6_toxicity(spark, sf_dir):
+    return toxicity.scores(documents(spark, sf_dir), table(spark, sf_dir, "labels", "doc_id", "toxic"))
+
+
 def op7_quality_rules(spark, sf_dir):
     return quality_rules.measures(documents(spark, sf_dir)).drop("clean_text")
 
@@ -49,13 +62,21 @@ def op9_license_scans(spark, sf_dir):
     return license_scan.scan(documents(spark, sf_dir)).drop("places")
 
 
+def op10_substring_dedup(spark, sf_dir):
+    return substring_dedup.shared_passages(documents(spark, sf_dir))
+
+
 QUERIES = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
+    "op2_source_mixing": op2_source_mixing,
+    "op3_quality_classifier": op3_quality_classifier,
     "op4_chat_formatting": op4_chat_formatting,
     "op5_sharding": op5_sharding,
+    "op6_toxicity": op6_toxicity,
     "op7_quality_rules": op7_quality_rules,
     "op8_benchmark_decontamination": op8_benchmark_decontamination,
     "op9_license_scans": op9_license_scans,
+    "op10_substring_dedup": op10_substring_dedup,
 }
 
 #: DuckDB SQL where it can express the query.

@@ -127,8 +127,8 @@ def numbered(df: DataFrame, group: str, bucket: str, order: list[str], into: str
     before = Window.partitionBy(group).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(group, bucket, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_from"))
     inside = Window.partitionBy(group, bucket).orderBy(*order)
-    return df.withColumn("_at", F.row_number().over(inside)).join(offsets, [group, bucket]) \
-        .withColumn(into, (F.col("_from") + F.col("_at") - 1).cast("long")).drop("_from", "_at")
+    return df.withColumn("_inside", F.row_number().over(inside)).join(offsets, [group, bucket]) \
+        .withColumn(into, (F.col("_from") + F.col("_inside") - 1).cast("long")).drop("_from", "_inside")
 
 
 def shards(docs: DataFrame, count: int = BASE_SHARDS, id_col: str = "doc_id", text_col: str = "text",

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import copy
 from collections.abc import Callable
 
 import numpy as np
@@ -10,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .textops import prefix_hashes, range_hash, row_slices
+from .textops import prefix_hashes, row_slices
 
 #: (row of each feature, hash of each feature), in any order within a row
 Features = Callable[[pa.Array], tuple[np.ndarray, np.ndarray]]
@@ -76,11 +77,12 @@ def counted(features: Features, bits: int):
     return run
 
 
-def scored(features: Features, bits: int, model):
+def scored(features: Features, bits: int, model, power: float = 1.0):
     """Arrow function: (_id, text) -> (_id, score) with a broadcast (weights, bias).
 
-    A text's score is the logistic of the mean weight of its features plus
-    the bias; a text without features has the bias alone.
+    A text's score is the logistic of its features' weights, summed and
+    divided by their number to the ``power``, plus the bias; a text without
+    features has the bias alone.
     """
     def run(batches):
         weights, bias = model.value
@@ -90,22 +92,26 @@ def scored(features: Features, bits: int, model):
                 row, value = features(batch.column("_text"))
                 total = np.bincount(row, weights[(value >> np.uint64(64 - bits)).astype(np.int64)], batch.num_rows)
                 n = np.bincount(row, minlength=batch.num_rows)
-                z = np.clip(total / np.maximum(n, 1) + bias, -30, 30)
+                z = np.clip(total / np.maximum(n, 1) ** power + bias, -30, 30)
                 yield pa.RecordBatch.from_arrays([batch.column("_id"), pa.array(1 / (1 + np.exp(-z)))],
                                                  names=["_id", "score"])
     return run
 
 
 class Bags:
-    """Bags of buckets of a bounded training sample: CSR arrays, values are shares of the features."""
+    """Bags of buckets of a bounded training sample in CSR arrays.
 
-    def __init__(self, batches: list[pa.RecordBatch], rows_wanted: np.ndarray | None = None):
+    A value is the bucket's count divided by the row's number of features
+    to the ``power``; rows are in the order of their ids.
+    """
+
+    def __init__(self, batches: list[pa.RecordBatch], power: float = 1.0):
         table = pa.Table.from_batches(batches).combine_chunks() if batches else None
         if table is None or not table.num_rows:
             self.label, self.at, self.bucket, self.value = np.zeros(0, int), np.zeros(1, int), np.zeros(0, np.int32), np.zeros(0)
             return
-        order = pc.sort_indices(table, [("_id", "ascending")])
-        table = table.take(order).combine_chunks()
+        order = pc.sort_indices(table, [("_id", "ascending"), ("_label", "ascending")])
+        table = table.take(order)
         self.label = table.column("_label").to_numpy().astype(int)
         lists = table.column("buckets").combine_chunks()
         sizes = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
@@ -113,7 +119,14 @@ class Bags:
         self.bucket = pc.list_flatten(lists).to_numpy(zero_copy_only=False)
         counts = pc.list_flatten(table.column("counts").combine_chunks()).to_numpy(zero_copy_only=False).astype(np.float64)
         sums = np.add.reduceat(np.r_[counts, 0.0], self.at[:-1]) * (sizes > 0)
-        self.value = counts / np.repeat(np.maximum(sums, 1), sizes)
+        self.value = counts / np.repeat(np.maximum(sums, 1) ** power, sizes)
+
+    def only(self, keep: np.ndarray) -> Bags:
+        """The same rows with the entries of the kept buckets alone."""
+        out, mask = copy.copy(self), keep[self.bucket]
+        out.at = np.r_[0, np.cumsum(mask)][self.at]
+        out.bucket, out.value = self.bucket[mask], self.value[mask]
+        return out
 
     def batch(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(position in the batch, bucket, value) of the entries of some rows."""
@@ -137,7 +150,8 @@ def texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("_text"))
 
 
-def trained(sample: DataFrame, docs: DataFrame, features: Features, bits: int, fit) -> tuple[np.ndarray, float]:
+def trained(sample: DataFrame, docs: DataFrame, features: Features, bits: int, fit,
+            power: float = 1.0) -> tuple[np.ndarray, float]:
     """Fit ``fit(Bags) -> (weights, bias)`` in one task on the documents of a bounded id sample.
 
     ``sample`` (_id, _label) is limited by its caller, so the join is a
@@ -147,7 +161,7 @@ def trained(sample: DataFrame, docs: DataFrame, features: Features, bits: int, f
         counted(features, bits), "_id long, _label int, buckets array<int>, counts array<int>")
 
     def one(batches):
-        weights, bias = fit(Bags(list(batches)))
+        weights, bias = fit(Bags(list(batches), power))
         yield pa.RecordBatch.from_arrays([pa.array([np.asarray(weights, np.float32).tobytes()], pa.binary()),
                                           pa.array([float(bias)])], names=["weights", "bias"])
 

@@ -6,14 +6,16 @@ pi the risk of a scorer g is
 
     pi * E_pos[l(g)] + max(0, E_unl[l(-g)] - pi * E_pos[l(-g)])
 
-(l is the sigmoid loss): the second term estimates the risk on negatives and
+(l is the logistic loss): the second term estimates the risk on negatives and
 is kept from going below zero, as a flexible model would otherwise drive it.
-When a batch's estimate is negative the step goes up that term instead.
+When a batch's estimate is below -``SLACK`` the step goes up that term instead.
 
-g is linear in the shares of a text's hashed features: its words and their
-first 4, 5 and 6 letters (inflected stems share those).  Weights are trained
-by numpy SGD with per-coordinate steps on a bounded sample, in one task;
-every text is scored whole.
+g is linear in the counts of a text's hashed features divided by the square
+root of their number: its words and their first 4, 5 and 6 letters (inflected
+stems share those).  Only buckets that stand in clearly more positive than
+unlabelled texts (``SIGMAS`` standard errors; equal positives count once)
+have a weight.  Weights are trained by numpy SGD on a bounded sample, in one
+task; every text is scored whole.
 """
 
 from __future__ import annotations
@@ -27,10 +29,13 @@ from .textops import mix, range_hash
 
 BITS = 18
 STEMS = (4, 5, 6)
-EPOCHS = 30
-POSITIVES, UNLABELLED = 64, 256
-RATE = 0.2
-SCALE = 20.0
+EPOCHS = 300
+POSITIVES, UNLABELLED = 512, 2000
+SLACK = 0.05
+RATE = 500.0
+BIAS_RATE = 1.0
+SIGMAS = 6.0
+POWER = 0.5
 MAX_POSITIVE = 1500
 MAX_UNLABELLED = 6000
 THRESHOLD = 0.7
@@ -48,39 +53,43 @@ def features(column):
     return np.concatenate(rows), np.concatenate(values)
 
 
+def telling(bags: Bags, size: int) -> np.ndarray:
+    """Mask of the buckets whose share of positive texts is SIGMAS errors above the unlabelled share."""
+    pos, unl = np.flatnonzero(bags.label == 1), np.flatnonzero(bags.label == 0)
+    first = {bags.bucket[bags.at[r]:bags.at[r + 1]].tobytes(): r for r in pos[::-1]}
+    pos = np.array(sorted(first.values()))
+    in_pos = np.bincount(bags.batch(pos)[1], minlength=size) / len(pos)
+    in_unl = (np.bincount(bags.batch(unl)[1], minlength=size) + 1) / (len(unl) + 2)
+    return in_pos - in_unl > SIGMAS * np.sqrt(in_unl * (1 - in_unl) / len(pos))
+
+
 def fit(bags: Bags, prior: float, seed: int = 11) -> tuple[np.ndarray, float]:
     """Bucket weights and bias from positives (label 1) and unlabelled texts (label 0)."""
     size = 1 << BITS
     pos, unl = np.flatnonzero(bags.label == 1), np.flatnonzero(bags.label == 0)
     if not len(pos) or not len(unl):
         return np.zeros(size, np.float32), 0.0
+    bags = bags.only(telling(bags, size))
     rng = np.random.default_rng(seed)
-    weight, bias = np.zeros(size), 0.0
-    seen, seen_bias = np.full(size, 1e-10), 1e-10
+    weight, bias = np.zeros(size), float(np.log(prior / (1 - prior)))
     for _ in range(EPOCHS):
         order = rng.permutation(len(unl))
         for first in range(0, len(unl), UNLABELLED):
             u = unl[order[first:first + UNLABELLED]]
             p = pos[rng.integers(0, len(pos), min(POSITIVES, len(pos)))]
             rows = np.r_[p, u]
+            is_pos = np.arange(len(rows)) < len(p)
             of, bucket, value = bags.batch(rows)
-            value = value * SCALE
             g = np.bincount(of, value * weight[bucket], len(rows)) + bias
             s = 1 / (1 + np.exp(-np.clip(g, -30, 30)))
-            slope = s * (1 - s)  # of l(-g) = s; that of l(g) = 1 - s is its negative
-            is_pos = np.arange(len(rows)) < len(p)
-            negative = s[~is_pos].mean() - prior * s[is_pos].mean()
-            if negative >= 0:
-                d = np.where(is_pos, -2 * prior * slope / len(p), slope / len(u))
+            loss = np.logaddexp(0, g)  # l(-g), with slope s; the slope of l(g) is s - 1
+            if loss[~is_pos].mean() - prior * loss[is_pos].mean() >= -SLACK:
+                d = np.where(is_pos, -prior / len(p), s / len(u))
             else:
-                d = np.where(is_pos, prior * slope / len(p), -slope / len(u))
-            touched, place = np.unique(bucket, return_inverse=True)
-            grad = np.bincount(place, value * d[of], len(touched))
-            seen[touched] += grad * grad
-            weight[touched] -= RATE * grad / np.sqrt(seen[touched])
-            seen_bias += d.sum() ** 2
-            bias -= RATE * d.sum() / np.sqrt(seen_bias)
-    return (weight * SCALE).astype(np.float32), float(bias)
+                d = np.where(is_pos, prior * s / len(p), -s / len(u))
+            weight -= RATE * np.bincount(bucket, value * d[of], size)
+            bias -= BIAS_RATE * d.sum()
+    return weight.astype(np.float32), float(bias)
 
 
 def scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -104,8 +113,8 @@ def scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     positives = least_hashed(known.where("_label = 1"), max_positive)
     unlabelled = least_hashed(body.select("_id").where("_id is not null").distinct(), max_unlabelled) \
         .select("_id", F.lit(0).alias("_label"))
-    model = trained(positives.union(unlabelled), body, features, BITS, lambda bags: fit(bags, prior))
+    model = trained(positives.union(unlabelled), body, features, BITS, lambda bags: fit(bags, prior), POWER)
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    out = body.mapInArrow(scored(features, BITS, shared), "_id long, score double")
+    out = body.mapInArrow(scored(features, BITS, shared, POWER), "_id long, score double")
     return out.select(F.col("_id").alias(id_col), (remainder(F.col("_id"), modulus) == held).alias("held_out"), "score",
                       (F.col("score") >= threshold).cast("int").alias("predicted"))
