@@ -133,7 +133,12 @@ def measures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 
 def cleaned(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """The kept rows of ``docs``, all columns, with the failing lines removed from the text."""
+    """The kept rows of ``docs``, all columns, with the failing lines removed from the text.
+
+    Rows go through ``inline`` of a null array, not a filter: the optimizer
+    would push a filter below the projections and compute each of their
+    arrays again for every use.
+    """
     at = docs.columns.index(text_col)
-    return judge(docs, text_col).where("_kept").select(
-        *[F.col("_clean" if i == at else f"_c{i}").alias(c) for i, c in enumerate(docs.columns)])
+    row = F.struct(*[F.col("_clean" if i == at else f"_c{i}").alias(f"_c{i}") for i in range(len(docs.columns))])
+    return judge(docs, text_col).select(F.inline(F.when(F.col("_kept"), F.array(row)))).toDF(*docs.columns)
