@@ -10,7 +10,7 @@ is as concentrated as with independent functions.
 
 Documents with the same set are one class and are sketched once.  The first
 coordinates are cut in bands; classes that share a band are candidates.  A
-candidate whose sketches (one bit of every coordinate) are far beyond the
+candidate whose sketches (two bits of every coordinate) are far beyond the
 threshold's distance is left out, every other one is confirmed on the full
 sets in integers.  No pair list of a bucket is made at once:
 
@@ -18,8 +18,9 @@ sets in integers.  No pair list of a bucket is made at once:
 2. in buckets that still hold several components, against the member that
    has the most links so far;
 3. only pairs of one bucket whose components still differ are checked after
-   that.  A pair inside one component needs no check, so the components are
-   those of checking every candidate pair.
+   that, each in the first band it shares.  A pair inside one component
+   needs no check, so the components are those of checking every candidate
+   pair.
 
 A pair at the threshold shares a band with probability 1 - (1 - 0.75**rows)
 ** bands (with 40 bands of 4 rows all but 2.5 in ten million) and stays
@@ -113,12 +114,16 @@ def bands_of(table: np.ndarray, bands: int, rows: int) -> np.ndarray:
 
 
 def bits_of(table: np.ndarray) -> list[pa.Array]:
-    """The lowest bit of each coordinate, 64 to a long column."""
-    packed = np.packbits((table & np.uint64(1)).astype(np.uint8), axis=1).view(np.int64)
-    return [pa.array(np.ascontiguousarray(packed[:, k])) for k in range(packed.shape[1])]
+    """The two lowest bits of each coordinate: 64 low bits to a long column, then 64 high bits."""
+    out = []
+    for bit in (1, 2):
+        packed = np.packbits((table & np.uint64(bit)) != 0, axis=1).view(np.int64)
+        out += [pa.array(np.ascontiguousarray(packed[:, k])) for k in range(packed.shape[1])]
+    return out
 
 
-BITS = [f"_b{k}" for k in range(BINS // 64)]
+LOW, HIGH = ([f"_{p}{k}" for k in range(BINS // 64)] for p in ("l", "h"))
+BITS = [*LOW, *HIGH]
 
 
 def _features(words: int, bands: int, rows: int):
@@ -168,8 +173,13 @@ def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def _near(percent: int):
     """Could rows x and y be linked, by set sizes (exact) and sketch distance (``SIGMAS``)?"""
     j = percent / 100
-    far = BINS * (1 - j) / 2 + SIGMAS * math.sqrt(BINS * (1 + j) * (1 - j)) / 2
-    apart = reduce(lambda p, q: p + q, [F.bit_count(F.col(f"x.{b}").bitwiseXOR(F.col(f"y.{b}"))) for b in BITS])
+    p = (1 - j) * 3 / 4  # a coordinate that differs differs in the two bits with probability 3/4
+    far = BINS * p + SIGMAS * math.sqrt(BINS * p * (1 - p))
+
+    def other(b: str):
+        return F.col(f"x.{b}").bitwiseXOR(F.col(f"y.{b}"))
+
+    apart = reduce(lambda m, n: m + n, [F.bit_count(other(b).bitwiseOR(other(c))) for b, c in zip(LOW, HIGH, strict=True)])
     x, y = F.col("x.n_shingles"), F.col("y.n_shingles")
     return (F.lit(100) * F.least(x, y) >= F.lit(percent) * F.greatest(x, y)) & (apart <= F.lit(int(far)))
 
@@ -208,7 +218,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         .select("band", "hub"), "hubs")
     members = scratch.keep(banded.join(hubs, "band"), "members")
     wanted = members.select("_id").distinct()
-    sketches = scratch.keep(reps.drop("_bands", "_one", "_two").join(wanted, "_id", "left_semi"), "sketches")
+    sketches = scratch.keep(reps.drop("_one", "_two").join(wanted, "_id", "left_semi"), "sketches")
     sets = scratch.keep(texts.join(wanted, "_id", "left_semi").mapInArrow(
         _set_rows(words), "_id long, _set array<long>").dropDuplicates(["_id"]), "sets")
 
@@ -241,7 +251,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     mixed = scratch.keep(_mixed(placed), "mixed")
     split = scratch.keep(placed.join(mixed, "band").join(sketches, "_id"), "split")
     rest = split.alias("x").join(split.alias("y"), (F.col("x.band") == F.col("y.band"))
-                                 & (F.col("x.part") < F.col("y.part")) & _near(percent)).select(
+                                 & (F.col("x.part") < F.col("y.part")) & _near(percent)
+                                 & (F.get(F.array_intersect("x._bands", "y._bands"), F.lit(0)) == F.col("x.band"))).select(
         F.least("x._id", "y._id").alias("a"), F.greatest("x._id", "y._id").alias("b")).distinct()
     links = links.union(confirmed(rest, "links-three"))
     closed = components(links, scratch, "closed")
