@@ -72,13 +72,13 @@ def oracle_sql() -> dict[str, str]:
 # procedure and view texts, independently of the DataFrame operators.
 _TABLE_CTES = [
     ('RecordLabel',
-     "select n_nationkey RecordLabelID, n_name Name, r_name Location, concat('https://', lower(n_name), '.example') Website, concat('info@', lower(n_name), '.example') Email, concat('+44-', lpad(cast(n_nationkey as varchar(20)), 7, '0')) PhoneNumber from nation join region on n_regionkey = r_regionkey"),
+     "select n_nationkey RecordLabelID, n_name Name, r_name Location, concat('https://', lower(n_name), '.example') Website, concat('info@', lower(n_name), '.example') Email, concat('+44-', lpad(cast(n_nationkey as varchar(20)), cast(greatest(7, length(cast(n_nationkey as varchar(20)))) as int), '0')) PhoneNumber from nation join region on n_regionkey = r_regionkey"),
     ('Person',
-     "select concat('P', lpad(cast(c_custkey as varchar(20)), 7, '0')) NIF, c_name Name, date '1960-01-01' + cast(c_custkey % 12000 as int) DateOfBirth, case when c_custkey % 7 <> 0 then concat(lower(replace(c_name, '#', '.')), '@example.com') end Email, case when c_custkey % 11 <> 0 then concat('+1-555-', lpad(cast(c_custkey as varchar(20)), 7, '0')) end PhoneNumber from customer"),
+     "select concat('P', lpad(cast(c_custkey as varchar(20)), cast(greatest(7, length(cast(c_custkey as varchar(20)))) as int), '0')) NIF, c_name Name, date '1960-01-01' + cast(c_custkey % 12000 as int) DateOfBirth, case when c_custkey % 7 <> 0 then concat(lower(replace(c_name, '#', '.')), '@example.com') end Email, case when c_custkey % 11 <> 0 then concat('+1-555-', lpad(cast(c_custkey as varchar(20)), cast(greatest(7, length(cast(c_custkey as varchar(20)))) as int), '0')) end PhoneNumber from customer"),
     ('Contributor',
-     "select s_suppkey ContributorID, concat('P', lpad(cast(s_suppkey as varchar(20)), 7, '0')) Person_NIF from supplier"),
+     "select s_suppkey ContributorID, concat('P', lpad(cast(s_suppkey as varchar(20)), cast(greatest(7, length(cast(s_suppkey as varchar(20)))) as int), '0')) Person_NIF from supplier"),
     ('Employee',
-     "select c_custkey EmployeeID, case c_custkey % 6 when 0 then 'Engineer' when 2 then 'Manager' else 'Analyst' end JobTitle, c_mktsegment Department, cast(case when c_acctbal < 0 then 0 else c_acctbal end as decimal(10,2)) Salary, date '2015-01-01' + cast(c_custkey % 3000 as int) HireDate, c_nationkey RecordLabel_RecordLabelID, concat('P', lpad(cast(c_custkey as varchar(20)), 7, '0')) Person_NIF from customer where c_custkey % 2 = 0"),
+     "select c_custkey EmployeeID, case c_custkey % 6 when 0 then 'Engineer' when 2 then 'Manager' else 'Analyst' end JobTitle, c_mktsegment Department, cast(case when c_acctbal < 0 then 0 else c_acctbal end as decimal(10,2)) Salary, date '2015-01-01' + cast(c_custkey % 3000 as int) HireDate, c_nationkey RecordLabel_RecordLabelID, concat('P', lpad(cast(c_custkey as varchar(20)), cast(greatest(7, length(cast(c_custkey as varchar(20)))) as int), '0')) Person_NIF from customer where c_custkey % 2 = 0"),
     ('Song',
      "select p_partkey SongID, p_name Title, p_size * 10 Duration, case when p_size % 9 <> 0 then date '2015-01-01' + p_size end ReleaseDate from part"),
     ('Song_Genre',
@@ -113,13 +113,13 @@ _HELPER_CTES = [
     ('VW2',
      'select rl.RecordLabelID, coalesce(e.n,0) EmployeeCount, coalesce(k.n,0) CollaborationCount from RecordLabel rl left join (select RecordLabel_RecordLabelID i, count(*) n from Employee group by 1) e on e.i=rl.RecordLabelID left join (select RecordLabel_RecordLabelID2 i, count(*) n from RecordLabel_Collaboration group by 1) k on k.i=rl.RecordLabelID'),
     ('Requests',
-     "select c_custkey seq, concat('P', lpad(cast(c_custkey as varchar(20)), 7, '0')) NIF, case when c_custkey % 3 = 0 then concat(c_name, ' II') else c_name end Name, date '1960-01-01' + cast(c_custkey % 12000 as int) DateOfBirth, case when c_custkey % 7 <> 0 then concat(lower(replace(c_name, '#', '.')), '@example.com') else '' end Email, case when c_custkey % 11 <> 0 then concat('+1-555-', lpad(cast(c_custkey as varchar(20)), 7, '0')) end PhoneNumber from customer where c_custkey % 4 < 2 union all select c_custkey + 10000000, concat('P', lpad(cast(c_custkey + 5000000 as varchar(20)), 7, '0')), concat('New ', c_name), date '1999-01-01', null, null from customer where c_custkey % 40 = 1"),
+     "select c_custkey * 2 seq, concat('P', lpad(cast(c_custkey as varchar(20)), cast(greatest(7, length(cast(c_custkey as varchar(20)))) as int), '0')) NIF, case when c_custkey % 3 = 0 then concat(c_name, ' II') else c_name end Name, date '1960-01-01' + cast(c_custkey % 12000 as int) DateOfBirth, case when c_custkey % 7 <> 0 then concat(lower(replace(c_name, '#', '.')), '@example.com') else '' end Email, case when c_custkey % 11 <> 0 then concat('+1-555-', lpad(cast(c_custkey as varchar(20)), cast(greatest(7, length(cast(c_custkey as varchar(20)))) as int), '0')) end PhoneNumber from customer where c_custkey % 4 < 2 union all select c_custkey * 2 + 1, concat('N', lpad(cast(c_custkey as varchar(20)), cast(greatest(7, length(cast(c_custkey as varchar(20)))) as int), '0')), concat('New ', c_name), date '1999-01-01', null, null from customer where c_custkey % 40 = 1"),
     ('ContribClass',
      "select r.*, t.ContributorID ExistingID, case when p.NIF is null then 'NEW' when t.Person_NIF is not null then 'EXISTING' when coalesce(p.Name,'')=coalesce(r.Name,'') and coalesce(cast(p.DateOfBirth as varchar),'')=coalesce(cast(r.DateOfBirth as varchar),'') and coalesce(p.Email,'')=coalesce(r.Email,'') and coalesce(p.PhoneNumber,'')=coalesce(r.PhoneNumber,'') then 'ATTACH' else 'CONFLICT' end Outcome from Requests r left join Person p on p.NIF=r.NIF left join Contributor t on t.Person_NIF=r.NIF"),
     ('EmpClass',
      "select r.*, t.EmployeeID ExistingID, case when p.NIF is null then 'NEW' when t.Person_NIF is not null then 'EXISTING' when coalesce(p.Name,'')=coalesce(r.Name,'') and coalesce(cast(p.DateOfBirth as varchar),'')=coalesce(cast(r.DateOfBirth as varchar),'') and coalesce(p.Email,'')=coalesce(r.Email,'') and coalesce(p.PhoneNumber,'')=coalesce(r.PhoneNumber,'') then 'ATTACH' else 'CONFLICT' end Outcome from Requests r left join Person p on p.NIF=r.NIF left join Employee t on t.Person_NIF=r.NIF"),
     ('UpdReq',
-     "select concat('P', lpad(cast(c_custkey as varchar(20)), 7, '0')) NIF, concat(c_name, ' Jr') Name from customer where c_custkey % 25 = 2 union all select concat('P', lpad(cast(c_custkey + 5000000 as varchar(20)), 7, '0')), 'Nobody' from customer where c_custkey % 500 = 0"),
+     "select concat('P', lpad(cast(c_custkey as varchar(20)), cast(greatest(7, length(cast(c_custkey as varchar(20)))) as int), '0')) NIF, concat(c_name, ' Jr') Name from customer where c_custkey % 25 = 2 union all select concat('N', lpad(cast(c_custkey as varchar(20)), cast(greatest(7, length(cast(c_custkey as varchar(20)))) as int), '0')), 'Nobody' from customer where c_custkey % 500 = 0"),
     ('DelLabelCollabs',
      'select Collaboration_CollaborationID i from RecordLabel_Collaboration where RecordLabel_RecordLabelID1 % 10 = 3 union select Collaboration_CollaborationID from RecordLabel_Collaboration where RecordLabel_RecordLabelID2 % 10 = 3'),
     ('DelContribCollabs',
@@ -164,7 +164,7 @@ _ORACLE_QUERIES = {
     'lookup_songs':
         'select * from VW4 v where SongID in (select p_partkey from part where p_partkey % 97 = 5)',
     'person_lookup':
-        "select p.NIF, p.Name, p.DateOfBirth, p.Email, p.PhoneNumber, c.ContributorID from Person p left join Contributor c on c.Person_NIF=p.NIF where p.NIF in (select concat('P', lpad(cast(c_custkey as varchar(20)), 7, '0')) from customer where c_custkey % 30 = 0)",
+        "select p.NIF, p.Name, p.DateOfBirth, p.Email, p.PhoneNumber, c.ContributorID from Person p left join Contributor c on c.Person_NIF=p.NIF where p.NIF in (select concat('P', lpad(cast(c_custkey as varchar(20)), cast(greatest(7, length(cast(c_custkey as varchar(20)))) as int), '0')) from customer where c_custkey % 30 = 0)",
     'song_dependency_counts':
         'select s.SongID, coalesce(k.n,0) CollaborationCount, coalesce(c.n,0) ContributorCount from Song s left join (select Song_SongID i, count(*) n from Collaboration group by 1) k on k.i=s.SongID left join (select Song_SongID i, count(*) n from Contributor_Song group by 1) c on c.i=s.SongID',
     'contributor_dependency_counts':
@@ -204,7 +204,7 @@ _ORACLE_QUERIES = {
     'split_genre_tokens':
         "select p_partkey SongID, trim(t) Genre from (select p_partkey, unnest(string_split(concat(p_type, ' , ', p_brand, ',,', p_type), ',')) t from part) u",
     'resolve_contributor_tokens':
-        "select seq, t NIF, c.ContributorID from (select s_suppkey seq, trim(unnest(string_split(concat(concat('P', lpad(cast(s_suppkey as varchar(20)), 7, '0')), ', ', concat('P', lpad(cast(s_suppkey + 7 as varchar(20)), 7, '0')), ',X9'), ','))) t from supplier) u join Contributor c on c.Person_NIF=t",
+        "select seq, t NIF, c.ContributorID from (select s_suppkey seq, trim(unnest(string_split(concat(concat('P', lpad(cast(s_suppkey as varchar(20)), cast(greatest(7, length(cast(s_suppkey as varchar(20)))) as int), '0')), ', ', concat('P', lpad(cast(s_suppkey + 7 as varchar(20)), cast(greatest(7, length(cast(s_suppkey + 7 as varchar(20)))) as int), '0')), ',X9'), ','))) t from supplier) u join Contributor c on c.Person_NIF=t",
     'request_validation':
         "select seq, case when Email is null or Email='' then 'Email' end Missing from Requests r",
     'create_labels':
@@ -212,7 +212,7 @@ _ORACLE_QUERIES = {
     'create_songs':
         "select (select max(SongID) from Song) + row_number() over (order by p_partkey) SongID, concat('Remix ', p_name) Title, p_size * 10 Duration from part where p_partkey % 20 = 3",
     'create_songs_links':
-        'with n as (select p_partkey, (select max(SongID) from Song) + row_number() over (order by p_partkey) SongID from part where p_partkey % 20 = 3) select c.ContributorID Contributor_ContributorID, n.SongID Song_SongID, date \'2024-01-01\' "Date" from n join Contributor c on c.Person_NIF in (concat(\'P\', lpad(cast(p_partkey % 150 as varchar(20)), 7, \'0\')), concat(\'P\', lpad(cast(p_partkey % 150 + 1 as varchar(20)), 7, \'0\')))',
+        'with n as (select p_partkey, (select max(SongID) from Song) + row_number() over (order by p_partkey) SongID from part where p_partkey % 20 = 3) select c.ContributorID Contributor_ContributorID, n.SongID Song_SongID, date \'2024-01-01\' "Date" from n join Contributor c on c.Person_NIF in (concat(\'P\', lpad(cast(p_partkey % 150 as varchar(20)), cast(greatest(7, length(cast(p_partkey % 150 as varchar(20)))) as int), \'0\')), concat(\'P\', lpad(cast(p_partkey % 150 + 1 as varchar(20)), cast(greatest(7, length(cast(p_partkey % 150 + 1 as varchar(20)))) as int), \'0\')))',
     'contributor_requests_classified':
         'select seq, NIF, Outcome, ExistingID from ContribClass v',
     'employee_requests_classified':
@@ -240,7 +240,7 @@ _ORACLE_QUERIES = {
     'update_employees':
         'select EmployeeID, JobTitle, case when EmployeeID % 10 = 0 then cast(Salary + 100 as decimal(10,2)) else Salary end Salary from Employee',
     'rekey_persons':
-        "select p.NIF OldNIF, case when c_custkey % 9 = 0 then concat('Q', substr(p.NIF, 2)) else p.NIF end NIF, c.ContributorID, e.EmployeeID from Person p join customer on concat('P', lpad(cast(c_custkey as varchar(20)), 7, '0'))=p.NIF left join Contributor c on c.Person_NIF=p.NIF left join Employee e on e.Person_NIF=p.NIF",
+        "select p.NIF OldNIF, case when c_custkey % 9 = 0 then concat('Q', substr(p.NIF, 2)) else p.NIF end NIF, c.ContributorID, e.EmployeeID from Person p join customer on concat('P', lpad(cast(c_custkey as varchar(20)), cast(greatest(7, length(cast(c_custkey as varchar(20)))) as int), '0'))=p.NIF left join Contributor c on c.Person_NIF=p.NIF left join Employee e on e.Person_NIF=p.NIF",
     'update_collaborations_contributors':
         'select Collaboration_CollaborationID, Contributor_ContributorID from Collaboration_Contributor where Collaboration_CollaborationID % 40 <> 6 union all select k.CollaborationID, c.ContributorID from Collaboration k join Contributor c on c.ContributorID in (0, 1, 2) where k.CollaborationID % 40 = 6',
     'qc_pk_duplicates':
@@ -260,5 +260,21 @@ _ORACLE_QUERIES = {
     'qc_text_length':
         'select CollaborationID, length(CollaborationName) n from Collaboration where length(CollaborationName) > 24',
     'collaboration_records':
-        "select CollaborationID, strftime(StartDate, '%Y-%m-%d') StartDate, coalesce(strftime(EndDate, '%Y-%m-%d'), null) EndDate, coalesce(Contributors, '') Contributors, len(list_filter(list_transform(string_split(coalesce(RecordLabels,''), ','), lambda x: trim(x)), lambda x: x <> '')) LabelCount from VW6 v",
+        "select CollaborationID, strftime(StartDate, '%Y-%m-%d') StartDate, coalesce(strftime(EndDate, '%Y-%m-%d'), null) EndDate, array_to_string(list_filter(list_transform(string_split(coalesce(Contributors,''), ','), lambda x: trim(x)), lambda x: x <> ''), '|') Contributors, len(list_filter(list_transform(string_split(coalesce(RecordLabels,''), ','), lambda x: trim(x)), lambda x: x <> '')) LabelCount from VW6 v",
+    'employee_records':
+        "select EmployeeID, NIF, Name, strftime(DateOfBirth, '%Y-%m-%d') DateOfBirth, JobTitle, Department, cast(Salary as varchar) SalaryText, strftime(HireDate, '%Y-%m-%d') HireDate, Email, PhoneNumber, RecordLabelID, coalesce(RecordLabelName, '') RecordLabelName from VW3 v",
+    'contributor_records':
+        "select ContributorID, NIF, Name, strftime(DateOfBirth, '%Y-%m-%d') DateOfBirth, Email, PhoneNumber, coalesce(RecordLabelName, '') RecordLabelName, coalesce(Roles, '') Roles from VW5 v",
+    'song_records':
+        "select SongID, Title, Duration, strftime(ReleaseDate, '%Y-%m-%d') ReleaseDate, coalesce(Genres, '') Genres, coalesce(Contributors, '') Contributors, coalesce(CollaborationName, '') CollaborationName from VW4 v",
+    'label_records':
+        'select RecordLabelID, Name, Location, Website, Email, PhoneNumber from RecordLabel',
+    'lookup_labels':
+        'select RecordLabelID, Name, Location, Website, Email, PhoneNumber from RecordLabel where RecordLabelID in (select s_nationkey from supplier where s_suppkey % 4 = 1)',
+    'lookup_employees':
+        'select * from VW3 v where EmployeeID in (select c_custkey from customer where c_custkey % 30 = 0)',
+    'lookup_contributors':
+        'select * from VW5 v where ContributorID in (select s_suppkey from supplier where s_suppkey % 7 = 2)',
+    'lookup_collaborations':
+        'select * from VW6 v where CollaborationID in (select o_orderkey from orders where o_orderkey % 97 = 5)',
 }

@@ -124,6 +124,30 @@ def q_lookup_songs(spark, sf):
     return search.lookup(views.song_catalog(_t(spark, sf)), "SongID", keys, "p_partkey")
 
 
+@query("lookup_labels")
+def q_lookup_labels(spark, sf):
+    keys = batches.ids_where(read_driver(spark, sf)["supplier"], "s_suppkey", 4, 1, "s_nationkey")
+    return search.lookup(views.label_catalog(_t(spark, sf)), "RecordLabelID", keys, "s_nationkey")
+
+
+@query("lookup_employees")
+def q_lookup_employees(spark, sf):
+    keys = batches.ids_where(read_driver(spark, sf)["customer"], "c_custkey", 30, 0)
+    return search.lookup(views.employee_directory(_t(spark, sf)), "EmployeeID", keys, "c_custkey")
+
+
+@query("lookup_contributors")
+def q_lookup_contributors(spark, sf):
+    keys = batches.ids_where(read_driver(spark, sf)["supplier"], "s_suppkey", 7, 2)
+    return search.lookup(views.contributor_directory(_t(spark, sf)), "ContributorID", keys, "s_suppkey")
+
+
+@query("lookup_collaborations")
+def q_lookup_collaborations(spark, sf):
+    keys = batches.ids_where(read_driver(spark, sf)["orders"], "o_orderkey", 97, 5)
+    return search.lookup(views.collaboration_catalog(_t(spark, sf)), "CollaborationID", keys, "o_orderkey")
+
+
 @query("person_lookup")
 def q_person_lookup(spark, sf):
     d = read_driver(spark, sf)
@@ -460,5 +484,26 @@ def q_qc_text_length(spark, sf):
 @query("collaboration_records")
 def q_collaboration_records(spark, sf):
     r = to_records(views.collaboration_catalog(_t(spark, sf)), "collaboration")
-    return r.select("CollaborationID", "StartDate", "EndDate", "Contributors",
+    return r.select("CollaborationID", "StartDate", "EndDate",
+                    F.array_join("Contributors", "|").alias("Contributors"),
                     F.size("RecordLabels").cast("bigint").alias("LabelCount"))
+
+
+@query("employee_records")
+def q_employee_records(spark, sf):
+    return to_records(views.employee_directory(_t(spark, sf)), "employee").drop("Salary")
+
+
+@query("contributor_records")
+def q_contributor_records(spark, sf):
+    return to_records(views.contributor_directory(_t(spark, sf)), "contributor")
+
+
+@query("song_records")
+def q_song_records(spark, sf):
+    return to_records(views.song_catalog(_t(spark, sf)), "song")
+
+
+@query("label_records")
+def q_label_records(spark, sf):
+    return to_records(views.label_catalog(_t(spark, sf)), "label")

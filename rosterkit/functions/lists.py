@@ -17,17 +17,6 @@ def tokens(col, sep: str = ",") -> Column:
     return F.transform(F.split(c, sep, -1), lambda x: F.trim(x))
 
 
-def explode_tokens(df: DataFrame, list_col: str, out_col: str, *, keep: list[str],
-                   drop_empty: bool = False, dedupe: bool = False) -> DataFrame:
-    """One row per list item with the ``keep`` columns; a NULL list gives no rows."""
-    out = df.select(*keep, F.explode(tokens(list_col)).alias(out_col))
-    if drop_empty:
-        out = out.where(F.col(out_col) != "")
-    if dedupe:
-        out = out.dropDuplicates(keep + [out_col])
-    return out
-
-
 def rollup(rows: DataFrame, key: str, item: str, out: str, sep: str = ", ",
            empty_as_null: bool = True) -> DataFrame:
     """One row per ``key`` with the sorted items joined by ``sep``.

@@ -46,5 +46,6 @@ def iso_date(col) -> Column:
 
 
 def padded_key(prefix: str, col, width: int = 7) -> Column:
-    """``prefix`` + left zero-padded number (natural keys such as NIFs)."""
-    return F.concat(F.lit(prefix), F.lpad(_col(col).cast("string"), width, "0"))
+    """``prefix`` + number, zero-padded to at least ``width`` digits and never shortened."""
+    digits = _col(col).cast("string")
+    return F.concat(F.lit(prefix), F.lpad(digits, F.greatest(F.length(digits), F.lit(width)), F.lit("0")))

@@ -1,4 +1,4 @@
-"""SNK-1: view rows as export records (ISO dates, '' for NULL text, lists as arrays)."""
+"""SNK-1: view rows as export records (ISO dates, '' for some NULL texts, two lists as arrays)."""
 
 from __future__ import annotations
 
@@ -11,17 +11,15 @@ from ..functions.text import iso_date
 # Per entity, the text columns exported as '' when NULL and
 # the comma-list columns exported as arrays.
 _EMPTY_TEXT = {
-    "collaboration": ("Contributors",),
     "song": ("Genres", "Contributors", "CollaborationName"),
-    "employee": ("Department", "Email", "PhoneNumber", "RecordLabelName"),
-    "contributor": ("Email", "PhoneNumber", "RecordLabelName", "Roles"),
-    "label": ("Location", "Website"),
+    "employee": ("RecordLabelName",),
+    "contributor": ("RecordLabelName", "Roles"),
 }
-_LISTS = {"collaboration": ("RecordLabels",), "contributor": ("Roles",)}
+_LISTS = {"collaboration": ("RecordLabels", "Contributors")}
 
 
 def to_records(df: DataFrame, entity: str) -> DataFrame:
-    """Dates → 'yyyy-MM-dd' text, NULL text → '', comma lists → arrays (trimmed, no empties)."""
+    """Dates → 'yyyy-MM-dd' text, NULL → '' where the entity says so, comma lists → arrays (trimmed, no empties)."""
     out = []
     for f in df.schema.fields:
         c = F.col(f.name)

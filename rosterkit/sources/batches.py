@@ -7,7 +7,7 @@ operator's work.  The operators take any batch of that schema.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import padded_key
@@ -16,6 +16,16 @@ from .star import nif_of
 Tables = dict[str, DataFrame]
 
 
+def known_seq(key) -> Column:
+    """Even sequence numbers: requests about the person with this key."""
+    return key.cast("bigint") * 2
+
+
+def new_seq(key) -> Column:
+    """Odd sequence numbers: requests about a person not stored yet (NIF prefix ``N``)."""
+    return key.cast("bigint") * 2 + 1
+
+
 def person_requests(d: dict[str, DataFrame]) -> DataFrame:
     """seq, NIF, Name, DateOfBirth, Email, PhoneNumber.
 
@@ -25,14 +35,14 @@ def person_requests(d: dict[str, DataFrame]) -> DataFrame:
     c = d["customer"]
     ck = F.col("c_custkey")
     known = c.where(ck % 4 < 2).select(
-        ck.alias("seq"), nif_of(ck).alias("NIF"),
+        known_seq(ck).alias("seq"), nif_of(ck).alias("NIF"),
         F.when(ck % 3 == 0, F.concat("c_name", F.lit(" II"))).otherwise(F.col("c_name")).alias("Name"),
         F.date_add(F.lit("1960-01-01").cast("date"), (ck % 12000).cast("int")).alias("DateOfBirth"),
         F.when(ck % 7 != 0, F.concat(F.lower(F.replace("c_name", F.lit("#"), F.lit("."))),
                                      F.lit("@example.com"))).otherwise(F.lit("")).alias("Email"),
         F.when(ck % 11 != 0, padded_key("+1-555-", ck)).alias("PhoneNumber"))
     new = c.where(ck % 40 == 1).select(
-        (ck + 10000000).alias("seq"), nif_of(ck + 5000000).alias("NIF"),
+        new_seq(ck).alias("seq"), padded_key("N", ck).alias("NIF"),
         F.concat(F.lit("New "), F.col("c_name")).alias("Name"),
         F.lit("1999-01-01").cast("date").alias("DateOfBirth"),
         F.lit(None).cast("string").alias("Email"), F.lit(None).cast("string").alias("PhoneNumber"))
@@ -47,8 +57,7 @@ def employee_requests(d: dict[str, DataFrame]) -> DataFrame:
     """Person requests with employment fields and a conflict policy per request."""
     c = d["customer"].select("c_custkey", "c_nationkey", "c_mktsegment")
     r = person_requests(d)
-    r = r.withColumn("_ck", F.when(F.col("seq") >= 10000000, F.col("seq") - 10000000)
-                     .otherwise(F.col("seq")))
+    r = r.withColumn("_ck", F.shiftright("seq", 1))
     j = r.join(c, F.col("_ck") == F.col("c_custkey"))
     return j.select(
         *[x for x in r.columns if x != "_ck"],
@@ -64,10 +73,10 @@ def person_updates(d: dict[str, DataFrame]) -> DataFrame:
     """seq, NIF, Name: renamed known people plus NIFs nobody holds."""
     c = d["customer"]
     ck = F.col("c_custkey")
-    known = c.where(ck % 25 == 2).select(ck.alias("seq"), nif_of(ck).alias("NIF"),
+    known = c.where(ck % 25 == 2).select(known_seq(ck).alias("seq"), nif_of(ck).alias("NIF"),
                                          F.concat("c_name", F.lit(" Jr")).alias("Name"))
-    unknown = c.where(ck % 500 == 0).select((ck + 10000000).alias("seq"),
-                                            nif_of(ck + 5000000).alias("NIF"),
+    unknown = c.where(ck % 500 == 0).select(new_seq(ck).alias("seq"),
+                                            padded_key("N", ck).alias("NIF"),
                                             F.lit("Nobody").alias("Name"))
     return known.unionByName(unknown)
 
@@ -171,6 +180,6 @@ def nif_lists(d: dict[str, DataFrame]) -> DataFrame:
         nif_of(sk), F.lit(", "), nif_of(sk + 7), F.lit(",X9")).alias("Contributors"))
 
 
-def ids_where(df: DataFrame, col: str, modulo: int, rest: int) -> DataFrame:
-    """A delete or lookup key set: the keys of ``df`` with ``col % modulo == rest``."""
-    return df.where(F.col(col) % modulo == rest).select(col)
+def ids_where(df: DataFrame, col: str, modulo: int, rest: int, out: str | None = None) -> DataFrame:
+    """A delete or lookup key set: column ``out`` (``col``) of the rows with ``col % modulo == rest``."""
+    return df.where(F.col(col) % modulo == rest).select(out or col)

@@ -113,7 +113,7 @@ RULES: dict[str, TableRules] = {
         pk=("EmployeeID",), unique=(("Person_NIF",),),
         not_null=("JobTitle", "HireDate", "RecordLabel_RecordLabelID", "Person_NIF"),
         checks=(Check("salary_not_negative", "Salary >= 0"),),
-        max_length={"JobTitle": 255, "Department": 255}),
+        max_length={"JobTitle": 100, "Department": 100}),
     "Songwriter": TableRules(pk=("Contributor_ContributorID",)),
     "Producer": TableRules(pk=("Contributor_ContributorID",)),
     "Artist": TableRules(pk=("Contributor_ContributorID",), unique=(("StageName",),),
@@ -174,7 +174,3 @@ def pk(table: str) -> list[str]:
 
 def foreign_keys_of(child: str) -> list[ForeignKey]:
     return [fk for fk in FOREIGN_KEYS if fk.child == child]
-
-
-def referencing(parent: str) -> list[ForeignKey]:
-    return [fk for fk in FOREIGN_KEYS if fk.parent == parent]

@@ -199,11 +199,10 @@ def test_join_to_unique_splits_hot_keys(spark):
         F.when(F.col("id") % 3 == 0, F.lit(1)).otherwise(F.col("id") % 50).alias("k"),
         F.col("id").alias("v"))
     uniq = spark.range(0, 40).select(F.col("id").alias("k"), (F.col("id") * 10).alias("w"))
-    hot = {r.k: r._buckets for r in hot_keys(big, ["k"], 200, 8).collect()}
+    hot = {r.k: r._buckets for r in hot_keys(big, ["k"], 200).collect()}
     assert hot == {1: 6}                       # 1000 + 60 rows on key 1, 6 buckets of 200
     for how in ("inner", "left"):
-        got = sorted(map(tuple, join_to_unique(big, uniq, "k", how, hot_rows=200,
-                                               max_buckets=8).select("k", "v", "w").collect()),
+        got = sorted(map(tuple, join_to_unique(big, uniq, "k", how, hot_rows=200).select("k", "v", "w").collect()),
                      key=lambda r: (r[1], r[0]))
         want = sorted(map(tuple, big.join(uniq, "k", how).select("k", "v", "w").collect()),
                       key=lambda r: (r[1], r[0]))
@@ -303,3 +302,11 @@ def test_scale_settings():
     s = scale_settings(100 * 2 ** 40, 8000)
     assert s["spark.sql.shuffle.partitions"] == "409600"
     assert scale_settings(10 ** 6, 8)["spark.sql.shuffle.partitions"] == "16"
+
+
+def test_padded_keys_are_never_cut(spark):
+    from rosterkit.functions.text import padded_key
+    keys = [7, 1234567, 12345678, 123456789, 1234567890]
+    got = [r[0] for r in spark.createDataFrame([(k,) for k in keys], "k bigint").select(
+        padded_key("P", "k")).collect()]
+    assert got == ["P0000007", "P1234567", "P12345678", "P123456789", "P1234567890"]

@@ -4,6 +4,7 @@ filters reach the Parquet scan, only the needed columns are read."""
 import pytest
 
 import __spark_entry__ as entry
+from rosterkit.catalog import QUERIES
 
 SF = "/root/testdata/sf0.001"
 # Joins with a one-row side: five one-row counts side by side, and the
@@ -17,7 +18,7 @@ def plan_text(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("key", sorted(entry.queries()))
+@pytest.mark.parametrize("key", sorted(QUERIES))
 def test_no_nested_loops_or_python(spark, key):
     text = plan_text(entry.queries()[key](spark, SF))
     assert "BatchEvalPython" not in text and "ArrowEvalPython" not in text

@@ -8,6 +8,7 @@ Filters must then reach the stored table's Parquet scan.
 import pytest
 
 import __spark_entry__ as entry
+from rosterkit.catalog import QUERIES
 
 SF = "/root/testdata/sf0.001"
 
@@ -21,7 +22,7 @@ def _run(spark, key, store):
         spark.conf.unset("rosterkit.star.store")
 
 
-@pytest.mark.parametrize("key", sorted(entry.queries()))
+@pytest.mark.parametrize("key", sorted(QUERIES))
 def test_store_keeps_results(spark, key):
     assert _run(spark, key, "false") == _run(spark, key, "true")
 
