@@ -44,17 +44,18 @@ def _missing(c: str, dtype: str) -> Column:
     if dtype == "string":
         return col.isNull() | (F.trim(col) == "")
     if dtype.startswith("decimal") or dtype in ("int", "bigint", "double"):
-        # a zero salary/label id counts as missing for the reference's checks
-        return col.isNull() | (col == 0) if c in ("Salary", "RecordLabelID") else col.isNull()
+        # a label id of zero counts as missing; a salary of zero is a value (decision C-12)
+        return col.isNull() | (col == 0) if c == "RecordLabelID" else col.isNull()
     return col.isNull()
 
 
 def validate_requests(req: DataFrame, entity: str, required: tuple[str, ...] | None = None,
-                      strict_not_null: bool = False) -> DataFrame:
+                      strict_not_null: bool = True) -> DataFrame:
     """Add ``Missing``: comma list of required fields that are absent, else NULL.
 
-    ``strict_not_null=True`` also requires every NOT NULL column of the
-    label table (the reference checks only Name and Email for labels).
+    ``strict_not_null`` also requires every NOT NULL column of the label
+    table (the reference's own check names only Name and Email, and its
+    table then refuses the row).
     """
     fields = list(required or REQUIRED_FIELDS[entity])
     if strict_not_null and entity == "label":
@@ -135,7 +136,7 @@ def _accept(req: DataFrame, rej: DataFrame) -> DataFrame:
 
 # --------------------------------------------------------------------------- labels
 
-def create_labels(t: Tables, req: DataFrame, strict_not_null: bool = False) -> ChangeSet:
+def create_labels(t: Tables, req: DataFrame, strict_not_null: bool = True) -> ChangeSet:
     """WR-2: insert labels with new ids after the current maximum (by seq)."""
     good, bad = split_valid(req, "label", strict_not_null=strict_not_null)
     uniq = unique_rejects(t["RecordLabel"], good, ["Name", "Website", "Email", "PhoneNumber"], "label")
@@ -350,7 +351,9 @@ def apply_requests(t: Tables, req: DataFrame, entity: str = "contributor",
         "seq", "NIF", pol.alias("Policy"),
         F.when(pol == "keep", F.col("_p_Name")).when(pol == "overwrite", F.col("Name"))
         .alias("PersonName"))
-    overwrite = r.where(conflict & (pol == "overwrite")).select("seq", "NIF", *_PERSON_FIELDS)
+    # a repeated NIF: the first overwrite by seq is the one that is written
+    overwrite = r.where(conflict & (pol == "overwrite")).groupBy("NIF").agg(
+        F.min(F.struct("seq", *_PERSON_FIELDS)).alias("_o")).select("NIF", "_o.*")
     updated = update_persons(t, overwrite)
     # keep / overwrite conflicts attach (after the update the fields agree);
     # cancelled ones and conflicts without a policy write nothing
@@ -402,15 +405,35 @@ def collaboration_children(t: Tables, collabs: DataFrame) -> tuple[DataFrame, Da
     return label_links, contrib_links, rej
 
 
+def collaboration_rejects(t: Tables, req: DataFrame, key: str = "seq") -> DataFrame:
+    """Requests naming an unknown song, or labels of which fewer than two are known."""
+    out = [empty_rejects(req.sparkSession)]
+    if "SongID" in req.columns:
+        songs = t["Song"].select("SongID")
+        out.append(rejects(req.where(F.col("SongID").isNotNull()).join(songs, "SongID", "left_anti"),
+                           "collaboration", key, F.lit("Song not found")))
+    if "RecordLabels" in req.columns:
+        names = split_list(req, "RecordLabels", "LabelName", sorted({"seq", key}), drop_empty=True, dedupe=True)
+        known = t["RecordLabel"].select(F.col("Name").alias("LabelName"), F.lit(1).alias("_known"))
+        few = names.join(known, "LabelName", "left").groupBy(*sorted({"seq", key})).agg(
+            F.count("_known").alias("_n")).where("_n < 2")
+        out.append(rejects(few, "collaboration", key, F.lit("needs two labels")))
+    return union_all(out)
+
+
 def _date_rejects(req: DataFrame, entity: str) -> DataFrame:
     return rejects(req.where(F.col("EndDate") < F.col("StartDate")), entity, "seq",
                    F.lit("EndDate before StartDate"))
 
 
 def create_collaborations(t: Tables, req: DataFrame) -> ChangeSet:
-    """WR-10: insert collaborations with label links (names) and contributor links (NIFs)."""
+    """WR-10: insert collaborations with label links (names) and contributor links (NIFs).
+
+    Wrong dates, an unknown song or a list of fewer than two known labels
+    reject the whole request; a NULL or empty label list links no label.
+    """
     good, bad = split_valid(req, "collaboration")
-    dates = _date_rejects(good, "collaboration")
+    dates = union_all([_date_rejects(good, "collaboration"), collaboration_rejects(t, good)])
     accepted = _accept(good, dates)
     created = assign_ids(accepted, "CollaborationID", ["seq"],
                          max_id(t["Collaboration"], "CollaborationID"))

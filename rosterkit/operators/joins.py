@@ -8,9 +8,8 @@ shuffle stages, which a side built from co-partitioned joins and
 aggregates is not; so the split is written out:
 
 1. count rows per key on the big side (partial counts on the map side);
-   a key is hot if it holds more rows than an even share, the big side's
-   rows divided by the shuffle partitions, and gets ``ceil(n / share)``
-   buckets;
+   a key is hot from ``hot_rows`` rows on and gets ``ceil(n / hot_rows)``
+   buckets, however many that are;
 2. big-side rows of a hot key are spread over its buckets by a hash of
    the row, rows with a NULL key (which match nothing) over all
    partitions, and every other row goes to bucket 0;
@@ -18,10 +17,10 @@ aggregates is not; so the split is written out:
    bucket; every other key keeps one copy in bucket 0;
 4. the join runs on (key, bucket).
 
-There are at most as many hot keys as shuffle partitions, by the
-definition of the share, so the hot-key table is broadcast and the big
-side is never shuffled on the raw key.  No row is dropped or sampled:
-every big-side row meets exactly the one unique row of its key.
+The hot-key table has one row per hot key, at most ``rows / hot_rows``
+rows; Spark's runtime size check (AQE) decides whether it is broadcast.
+No row is dropped or sampled: every big-side row meets exactly the one
+unique row of its key.
 """
 
 from __future__ import annotations
@@ -31,31 +30,27 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Settings: rows from which a key is hot instead of the even share (the
-# caller then answers for the number of hot keys), and the split as a whole.
+# Default: a key is hot from one million rows on.
+HOT_ROWS = 1_000_000
 CONF_HOT_ROWS = "rosterkit.skew.hotRows"
 CONF_ENABLED = "rosterkit.skew.enabled"  # "false": plain joins, for data known to be even
 
 
-def _setting(df: DataFrame, key: str) -> int | None:
+def _setting(df: DataFrame, key: str, default: int) -> int:
     value = df.sparkSession.conf.get(key, None)
-    return int(value) if value else None
+    return int(value) if value else default
 
 
 def _partitions(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
-def hot_keys(big: DataFrame, keys: list[str], hot_rows: int | None = None) -> DataFrame:
-    """(keys…, _buckets) for keys holding more than the even share (or ``hot_rows``) of rows."""
+def hot_keys(big: DataFrame, keys: list[str], hot_rows: int) -> DataFrame:
+    """(keys…, _buckets) for keys, NULL apart, holding at least ``hot_rows`` rows of ``big``."""
     known = big.where(reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys]))
     counts = known.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    if hot_rows is not None:
-        return counts.where(F.col("_n") >= hot_rows).select(
-            *keys, F.ceil(F.col("_n") / F.lit(hot_rows)).cast("int").alias("_buckets"))
-    share = counts.agg((F.sum("_n") / F.lit(_partitions(big))).alias("_share")).scalar()
-    return counts.where(F.col("_n") > share).select(
-        *keys, F.ceil(F.col("_n") / share).cast("int").alias("_buckets"))
+    return counts.where(F.col("_n") >= hot_rows).select(
+        *keys, F.ceil(F.col("_n") / F.lit(hot_rows)).cast("int").alias("_buckets"))
 
 
 def join_to_unique(big: DataFrame, unique: DataFrame, on: str | list[str], how: str = "inner",
@@ -71,10 +66,7 @@ def join_to_unique(big: DataFrame, unique: DataFrame, on: str | list[str], how:
     keys = [on] if isinstance(on, str) else list(on)
     if (big.sparkSession.conf.get(CONF_ENABLED, "true") or "true").lower() == "false":
         return big.join(unique, keys, how)
-    hot_rows = hot_rows or _setting(big, CONF_HOT_ROWS)
-    hot = hot_keys(big, keys, hot_rows)
-    if hot_rows is None:
-        hot = F.broadcast(hot)
+    hot = hot_keys(big, keys, hot_rows or _setting(big, CONF_HOT_ROWS, HOT_ROWS))
 
     # each step is one projection, so the plan stays small for the analyzer
     row_hash = F.xxhash64(*[F.col(c) for c in big.columns])

@@ -13,9 +13,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.schema import SCHEMAS
-from .changes import ChangeSet, rejects, union_all, with_tables
-from .ingest import assign_roles, collaboration_children, song_children
+from ..sources.schema import RULES, SCHEMAS
+from .changes import ChangeSet, empty_rejects, rejects, union_all, with_tables
+from .ingest import assign_roles, collaboration_children, collaboration_rejects, song_children
 from .joins import join_to_unique
 
 Tables = dict[str, DataFrame]
@@ -49,6 +49,17 @@ def overwrite(target: DataFrame, accepted: DataFrame, key: str, columns: dict[st
     return j.select(*out)
 
 
+def null_screen(accepted: DataFrame, table: str, columns: dict[str, str], entity: str,
+                req_key: str) -> tuple[DataFrame, DataFrame]:
+    """(requests, rejects): a NULL for a NOT NULL column of ``table`` refuses the request."""
+    needed = [columns[c] for c in RULES[table].not_null if c in columns]
+    if not needed:
+        return accepted, empty_rejects(accepted.sparkSession)
+    first = F.coalesce(*[F.when(F.col(c).isNull(), F.lit(f"{c} must not be NULL")) for c in needed])
+    return (accepted.where(first.isNull()),
+            rejects(accepted.where(first.isNotNull()), entity, req_key, first))
+
+
 # --------------------------------------------------------------------------- persons
 
 _PERSON = {"Name": "Name", "DateOfBirth": "DateOfBirth", "Email": "Email", "PhoneNumber": "PhoneNumber"}
@@ -73,6 +84,8 @@ def update_labels(t: Tables, req: DataFrame) -> ChangeSet:
     accepted, rej = _screen(t["RecordLabel"], req, "RecordLabelID", "RecordLabelID", "label",
                             "RecordLabel not found")
     cols = {c: c for c in ("Name", "Location", "Website", "Email", "PhoneNumber") if c in req.columns}
+    accepted, nulls = null_screen(accepted, "RecordLabel", cols, "label", "RecordLabelID")
+    rej = rej.unionByName(nulls)
     return ChangeSet(with_tables(t, RecordLabel=overwrite(t["RecordLabel"], accepted,
                                                           "RecordLabelID", cols)), rej, {})
 
@@ -86,6 +99,8 @@ def update_songs(t: Tables, req: DataFrame, as_of=None) -> ChangeSet:
     """
     accepted, rej = _screen(t["Song"], req, "SongID", "SongID", "song", "Song not found")
     cols = {c: c for c in ("Title", "Duration", "ReleaseDate") if c in req.columns}
+    accepted, nulls = null_screen(accepted, "Song", cols, "song", "SongID")
+    rej = rej.unionByName(nulls)
     song = overwrite(t["Song"], accepted, "SongID", cols)
     changed = accepted.select(F.col("SongID").alias("Song_SongID")).distinct()
     genres, links, link_rej = song_children(t, accepted, as_of)
@@ -137,8 +152,12 @@ def rekey_persons(t: Tables, mapping: DataFrame, old_col: str = "OldNIF",
     return ChangeSet(new_t, rej, {"keys": keys})
 
 
-def _person_part(t: Tables, req: DataFrame, target: str, id_col: str) -> tuple[Tables, DataFrame]:
-    """Update the persons behind ``target`` rows; re-key when the request's NIF differs."""
+def _person_part(t: Tables, req: DataFrame, target: str,
+                 id_col: str) -> tuple[Tables, DataFrame, DataFrame | None]:
+    """(tables, requests, rejects): re-key where the NIF differs, then update the persons.
+
+    A request whose re-key is refused is left out of everything after it.
+    """
     fields = [c for c in _PERSON if c in req.columns]
     rej = []
     if "NIF" in req.columns:
@@ -146,13 +165,14 @@ def _person_part(t: Tables, req: DataFrame, target: str, id_col: str) -> tuple[T
         moves = req.join(cur, id_col).where(F.col("NIF").isNotNull() & (F.col("NIF") != F.col("OldNIF")))
         rk = rekey_persons(t, moves.select("seq", "OldNIF", F.col("NIF").alias("NewNIF")))
         t, rej = rk.tables, [rk.rejects]
+        req = req.join(rk.rejects.select("seq").distinct(), "seq", "left_anti")
     if fields:
         cur = t[target].select(F.col(id_col), F.col("Person_NIF").alias("NIF"))
         preq = req.drop("NIF").join(cur, id_col).select("seq", "NIF", *fields)
         up = update_persons(t, preq)
         t = up.tables
         rej.append(up.rejects)
-    return t, (union_all(rej) if rej else None)
+    return t, req, (union_all(rej) if rej else None)
 
 
 # --------------------------------------------------------------------------- contributors
@@ -162,14 +182,15 @@ def update_contributors(t: Tables, req: DataFrame, reset_stage_name: bool = Fals
 
     Roles not in the new list are removed; an Artist row whose role stays
     keeps its stage name unless ``reset_stage_name``.  A NULL Roles value
-    leaves the roles as they are.
+    removes every role, as the reference does; without a Roles column the
+    roles stay.  A request whose new NIF is refused changes nothing.
     """
     accepted, rej = _screen(t["Contributor"], req, "ContributorID", "ContributorID", "contributor",
                             "Contributor not found")
-    t2, prej = _person_part(t, accepted, "Contributor", "ContributorID")
+    t2, accepted, prej = _person_part(t, accepted, "Contributor", "ContributorID")
     rej_all = [rej] + ([prej] if prej is not None else [])
     if "Roles" in accepted.columns:
-        with_roles = accepted.where(F.col("Roles").isNotNull())
+        with_roles = accepted.withColumn("Roles", F.coalesce("Roles", F.lit("")))
         roles, role_rej = assign_roles(t2, with_roles.select("seq", "ContributorID", "Roles"))
         rej_all.append(role_rej)
         changed = with_roles.select(F.col("ContributorID").alias("Contributor_ContributorID")).distinct()
@@ -212,7 +233,7 @@ def update_employees(t: Tables, req: DataFrame) -> ChangeSet:
         neg = accepted.where(F.col("Salary") < 0)
         rej_all.append(rejects(neg, "employee", "EmployeeID", F.lit("Salary must not be negative")))
         accepted = accepted.where(~F.coalesce(F.col("Salary") < 0, F.lit(False)))
-    t2, prej = _person_part(t, accepted, "Employee", "EmployeeID")
+    t2, accepted, prej = _person_part(t, accepted, "Employee", "EmployeeID")
     if prej is not None:
         rej_all.append(prej)
     cols = {dst: src for dst, src in _EMPLOYMENT.items() if src in accepted.columns}
@@ -223,7 +244,11 @@ def update_employees(t: Tables, req: DataFrame) -> ChangeSet:
 # --------------------------------------------------------------------------- collaborations
 
 def update_collaborations(t: Tables, req: DataFrame) -> ChangeSet:
-    """UP-7: overwrite collaborations and replace their label and contributor links."""
+    """UP-7: overwrite collaborations and replace their label and contributor links.
+
+    Wrong dates, an unknown song, a NULL in a required column or a list of
+    fewer than two known labels reject the whole request.
+    """
     accepted, rej = _screen(t["Collaboration"], req, "CollaborationID", "CollaborationID",
                             "collaboration", "Collaboration not found")
     bad_dates = accepted.where(F.col("EndDate") < F.col("StartDate")) if {
@@ -237,6 +262,10 @@ def update_collaborations(t: Tables, req: DataFrame) -> ChangeSet:
             if c in accepted.columns}
     if "SongID" in accepted.columns:
         cols["Song_SongID"] = "SongID"
+    accepted, nulls = null_screen(accepted, "Collaboration", cols, "collaboration", "CollaborationID")
+    broken = collaboration_rejects(t, accepted, "CollaborationID")
+    rej_all += [nulls, broken]
+    accepted = accepted.join(broken.select("seq").distinct(), "seq", "left_anti")
     k = overwrite(t["Collaboration"], accepted, "CollaborationID", cols)
     changed = accepted.select(F.col("CollaborationID").alias("Collaboration_CollaborationID")).distinct()
     label_links, contrib_links, child_rej = collaboration_children(t, accepted)
