@@ -8,14 +8,15 @@ from pyspark.sql import functions as F
 from .scratch import Scratch
 
 
-def _stars(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+def _stars(edges: DataFrame, scratch: Scratch, name: str | None) -> DataFrame:
     """Link every ``v`` of a node's links (u, v) to the least of u's links.
 
-    The least per node is a partial aggregate and is kept as a table, so
-    the join back to the links is between two plain shuffles and a node
-    with very many links is split by AQE.
+    With a ``name`` the least per node (a partial aggregate) is kept as a
+    table, so the join back to the links is between two plain shuffles and
+    a node with very many links is split by AQE.
     """
-    least = scratch.keep(edges.groupBy("u").agg(F.min("v").alias("m")), f"{name}-least")
+    least = edges.groupBy("u").agg(F.min("v").alias("m"))
+    least = scratch.keep(least, f"{name}-least") if name else least
     linked = edges.join(least, "u").select(F.explode(F.array(
         F.struct(F.col("v").alias("a"), F.least("m", "u").alias("b")),
         F.struct(F.col("u").alias("a"), F.least("m", "u").alias("b")))).alias("e"))
@@ -42,7 +43,8 @@ def components(edges: DataFrame, scratch: Scratch, name: str = "components") ->
         both = current.select(F.col("a").alias("u"), F.col("b").alias("v")).union(
             current.select(F.col("b").alias("u"), F.col("a").alias("v")))
         large = scratch.keep(_stars(both, scratch, f"{name}-{step}l"), f"{name}-{step}l")
-        small = _stars(large.select(F.col("a").alias("u"), F.col("b").alias("v")), scratch, f"{name}-{step}s")
+        # after a large-star round a node's smaller neighbours are few
+        small = _stars(large.select(F.col("a").alias("u"), F.col("b").alias("v")), scratch, None)
         current = scratch.keep(small, f"{name}-{step}")
     return current.select(F.col("a").alias("node"), F.col("b").alias("component")).union(
         current.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
