@@ -70,6 +70,7 @@ def main() -> None:
         "queries": times,
         "all_queries_sec": round(sum(times.values()), 3),
         "load_sec": load_sec,
+        "total_with_load_sec": round(sum(times.values()) + load_sec, 3),
         "headline": head,
         "sf": float(m.group(1)) if m else sf_dir,
         "cpus": cpus,
