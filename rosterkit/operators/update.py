@@ -154,10 +154,7 @@ def rekey_persons(t: Tables, mapping: DataFrame, old_col: str = "OldNIF",
 
 def _person_part(t: Tables, req: DataFrame, target: str,
                  id_col: str) -> tuple[Tables, DataFrame, DataFrame | None]:
-    """(tables, requests, rejects): re-key where the NIF differs, then update the persons.
-
-    A request whose re-key is refused is left out of everything after it.
-    """
+    """(tables, requests, rejects): re-key where the NIF differs, then update the persons."""
     fields = [c for c in _PERSON if c in req.columns]
     rej = []
     if "NIF" in req.columns:
@@ -165,7 +162,6 @@ def _person_part(t: Tables, req: DataFrame, target: str,
         moves = req.join(cur, id_col).where(F.col("NIF").isNotNull() & (F.col("NIF") != F.col("OldNIF")))
         rk = rekey_persons(t, moves.select("seq", "OldNIF", F.col("NIF").alias("NewNIF")))
         t, rej = rk.tables, [rk.rejects]
-        req = req.join(rk.rejects.select("seq").distinct(), "seq", "left_anti")
     if fields:
         cur = t[target].select(F.col(id_col), F.col("Person_NIF").alias("NIF"))
         preq = req.drop("NIF").join(cur, id_col).select("seq", "NIF", *fields)
@@ -183,7 +179,7 @@ def update_contributors(t: Tables, req: DataFrame, reset_stage_name: bool = Fals
     Roles not in the new list are removed; an Artist row whose role stays
     keeps its stage name unless ``reset_stage_name``.  A NULL Roles value
     removes every role, as the reference does; without a Roles column the
-    roles stay.  A request whose new NIF is refused changes nothing.
+    roles stay.
     """
     accepted, rej = _screen(t["Contributor"], req, "ContributorID", "ContributorID", "contributor",
                             "Contributor not found")
