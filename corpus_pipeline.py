@@ -10,7 +10,9 @@ four return the columns of ``documents``; the last adds ``shard`` and
 3. decontamination: benchmark passages are cut out, documents mostly made of
    them go;
 4. mixing: the files are in the order of the source mix, no row goes;
-5. sharding: 40 shards, gapless slots.
+5. sharding: 40 shards, gapless slots in the order of the source mix inside
+   each shard (Spark does not keep the order of files, so the schedule is
+   computed again from the rows).
 
 An empty table passes through every stage; null texts and texts without ten
 words go in the first.
@@ -49,7 +51,11 @@ def stage_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def stage_sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return sharding.sharded(docs)
+    """Slots of a shard in the order of the source mix; the schedule is a function of the rows, not of the files."""
+    names = [c for c in docs.columns if c not in ("shard", "slot")]
+    mix = mixing.mixed(docs)
+    blocks = -(-docs.count() // mixing.BLOCK_ROWS) + mixing.MAX_SOURCES
+    return sharding.sharded(mix, order=("mix_slot", "mix_row"), blocks=blocks).select(*names, "shard", "slot")
 
 
 STAGES = [

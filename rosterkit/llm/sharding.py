@@ -151,13 +151,21 @@ def shards(docs: DataFrame, count: int = BASE_SHARDS, id_col: str = "doc_id", te
                      "grown_shard")
 
 
-def sharded(docs: DataFrame, count: int = BASE_SHARDS, id_col: str = "doc_id", base: int = BASE_SHARDS) -> DataFrame:
-    """``docs`` with its ``shard`` and ``slot`` (columns of these names are replaced)."""
+def sharded(docs: DataFrame, count: int = BASE_SHARDS, id_col: str = "doc_id", base: int = BASE_SHARDS,
+            order: tuple[str, ...] = (), blocks: int = 0) -> DataFrame:
+    """``docs`` with its ``shard`` and ``slot`` (columns of these names are replaced).
+
+    Slots follow the hash of the key, or with ``order`` these columns: the
+    first is a number from 0 to below ``blocks``, cut in as many ranges as
+    there are hash buckets, and no range is numbered by more than one task.
+    """
     names = [c for c in docs.columns if c not in ("shard", "slot")]
     df = docs.select(*names).toDF(*[f"_c{i}" for i in range(len(names))])
-    key = f"_c{names.index(id_col)}"
-    df = df.withColumn("_key", _key(key)).withColumn("_bucket", F.substring(F.md5("_key"), 1, BUCKET_DIGITS))
+    key, by = f"_c{names.index(id_col)}", [f"_c{names.index(c)}" for c in order]
+    bucket = F.floor(F.col(by[0]) / F.lit(-(-max(blocks, 1) // 16 ** BUCKET_DIGITS))) if by \
+        else F.substring(F.md5("_key"), 1, BUCKET_DIGITS)
+    df = df.withColumn("_key", _key(key)).withColumn("_bucket", bucket)
     df = place(df, F.col("_key"), regular(count, base), "shard")
     df = df.withColumn("_row", F.xxhash64(*[F.col(f"_c{i}") for i in range(len(names))]))
-    df = numbered(df, "shard", "_bucket", [key, "_row"], "slot")
+    df = numbered(df, "shard", "_bucket", [*by, key, "_row"], "slot")
     return df.select(*[F.col(f"_c{i}").alias(c) for i, c in enumerate(names)], "shard", "slot")
