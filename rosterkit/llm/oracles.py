@@ -128,10 +128,79 @@ select doc_id, cast(len(w) as bigint) n_words, coalesce(n_base, 0) n_base, cast(
   round(coalesce(score, 0.0), 6) score from d left join a using (doc_id)
 """
 
+OP11 = f"""
+with w as (select doc_id, regexp_extract_all({_LOW}, {_SPACED}) w from documents),
+s as (select doc_id, unnest(case when len(w) = 0 then [] when len(w) < 3 then [array_to_string(w, ' ')]
+      else list_distinct(list_transform(range(1, len(w) - 1), lambda i: array_to_string(list_slice(w, i, i + 2), ' '))) end) k from w),
+u as (select distinct * from s),
+n as (select doc_id, count(*) n from u group by 1),
+p as (select a.doc_id a, b.doc_id b, count(*) c from u a join u b on a.k = b.k and a.doc_id < b.doc_id group by 1, 2),
+e as (select a, b from p join n x on x.doc_id = a join n y on y.doc_id = b where 100 * c >= 90 * (x.n + y.n - c)),
+l as (select a, b from e union all select b, a from e),
+r as (with recursive t(i, j) as (select doc_id, doc_id from documents union select t.i, l.b from t join l on l.a = t.j)
+      select i, min(j) component_id from t group by 1)
+select w.doc_id, cast(coalesce(n.n, 0) as bigint) n_shingles, r.component_id
+from w left join n using (doc_id) join r on r.i = w.doc_id
+"""
+
+_CRC = """list_reduce(list_prepend(4294967295::bigint, list_transform(string_split(s, ''), lambda x: ascii(x)::bigint)),
+  lambda c, b: list_reduce(list_prepend(xor(c, b), list_transform(range(8), lambda x: 0::bigint)),
+  lambda x, y: xor(x >> 1, 3988292384 * (x & 1))))"""
+
+# The grammar as a table of steps: inserts before a turn, the turn's edit, then the inserts at the end.
+# States: 0 nothing yet, 1 after system, 2 a user waits for the assistant, 3 after a pair.
+OP13 = f"""
+with recursive c as (select *, concat(coalesce(cast(conv_id as varchar), ' '), ':', coalesce(cast(turn as varchar), ' ')) s
+  from (select conv_id, turn, coalesce(role, ' ') role, coalesce(text, ' ') txt from conversations)),
+h as (select *, xor({_CRC}, 4294967295) % 20 k from c),
+d as (select conv_id, turn, case when k = 4 then 'user' else role end role,
+  case k when 1 then '' when 2 then translate(txt, '.!?', '') else txt end txt,
+  unnest(case k when 0 then [] when 3 then [1, 2] else [1] end) cp from h),
+o as (select *, row_number() over (partition by conv_id order by turn nulls first, role, md5(txt)) p,
+  trim(txt, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) body from d),
+f as (select *, left(role, 1) i, case when body = '' then 'b'
+  when row_number() over (partition by conv_id, role, txt order by p) > 1 then 'd'
+  when right(body, 1) not in ('.', '!', '?') then 't' else '' end fault,
+  lag(left(role, 1)) over (partition by conv_id order by p) before from o),
+g as (select conv_id, cast(coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0) as bigint) gaps,
+  count(*) filter (fault = 'b') blank, count(*) filter (fault = 'd') duplicate, count(*) filter (fault = 't') truncated,
+  count(*) filter (before is not null and concat(before, i) not in ('su', 'ua', 'au')) illegal, count(*) n from f group by 1),
+ins(a, b, x, cost, ed, lines) as (values (0, 0, 0, 0, '', ''), (1, 1, 0, 0, '', ''), (2, 2, 0, 0, '', ''), (3, 3, 0, 0, '', ''),
+  (0, 2, 1, 2, 'I', 'user:' || chr(10)), (1, 2, 1, 2, 'I', 'user:' || chr(10)), (3, 2, 1, 2, 'I', 'user:' || chr(10)),
+  (2, 3, 1, 2, 'I', 'assistant:' || chr(10)), (0, 3, 2, 4, 'II', 'user:' || chr(10) || 'assistant:' || chr(10)),
+  (1, 3, 2, 4, 'II', 'user:' || chr(10) || 'assistant:' || chr(10)),
+  (3, 3, 2, 4, 'II', 'user:' || chr(10) || 'assistant:' || chr(10)),
+  (2, 2, 2, 4, 'II', 'assistant:' || chr(10) || 'user:' || chr(10))),
+takes(b, sym, e, name) as (values (0, 's', 1, ''), (0, 'u', 2, 'user'), (1, 'u', 2, 'user'), (3, 'u', 2, 'user'), (2, 'a', 3, 'assistant')),
+acts as (select f.conv_id, p, b, b e, 3 cost, 'D' ed, '' line from f, (select distinct b from takes)
+  union all select conv_id, p, b, e, case when fault = 't' then 1 else 0 end, 'K', concat(role, ':', txt, chr(10))
+    from f join takes on sym = i where fault not in ('b', 'd')
+  union all select conv_id, p, b, e, case when fault = 't' then 3 else 2 end, 'R', concat(name, ':', txt, chr(10))
+    from f join takes on sym <> i and sym <> 's' where fault not in ('b', 'd')),
+walk(conv_id, p, st, best) as (
+  select conv_id, cast(0 as bigint), 0, row(cast(0 as bigint), '', '') from g
+  union all
+  select v.conv_id, v.p, v.e, min(row(v.cost, v.audit, v.lines)) from (
+    select a.conv_id, a.p, a.e, w.best[1] + ins.cost + a.cost as cost, concat(w.best[2], ins.ed, a.ed) audit,
+      concat(w.best[3], ins.lines, a.line) as lines
+    from walk w join ins on ins.a = w.st join acts a on a.conv_id is not distinct from w.conv_id and a.p = w.p + 1 and a.b = ins.b) v
+  group by 1, 2, 3),
+fin as (select w.conv_id, min(row(best[1] + ins.cost, concat(best[2], ins.ed), concat(best[3], ins.lines))) r
+  from walk w join g on g.conv_id is not distinct from w.conv_id and w.p = g.n join ins on ins.a = w.st
+  where ins.b in (0, 3) group by 1)
+select i.conv_id, coalesce(gaps, 0) gaps, coalesce(blank, 0) blank, coalesce(duplicate, 0) duplicate,
+  coalesce(truncated, 0) truncated, coalesce(illegal, 0) illegal, coalesce(r[1], 0) as "cost", coalesce(r[2], '') audit,
+  sha256(coalesce(left(r[3], greatest(length(r[3]) - 1, 0)), '')) repaired_sha256
+from (select distinct conv_id from conversations) i left join g on g.conv_id is not distinct from i.conv_id
+left join fin on fin.conv_id is not distinct from i.conv_id
+"""
+
 ORACLE_SQL = {
     "op1_minhash_near_dedup": OP1,
     "op4_chat_formatting": OP4,
     "op7_quality_rules": OP7,
     "op8_benchmark_decontamination": OP8,
     "op9_license_scans": OP9,
+    "op11_ngram_jaccard_join": OP11,
+    "op13_conversation_repair": OP13,
 }

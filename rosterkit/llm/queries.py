@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import (chat_format, decontaminate, license_scan, mixing, near_dedup, quality_classifier, quality_rules,
-               sharding, substring_dedup, toxicity)
+from . import (chat_format, conversation_repair, decontaminate, jaccard_join, license_scan, mixing, near_dedup,
+               quality_classifier, quality_rules, sharding, substring_dedup, toxicity, whitening)
 from .oracles import ORACLE_SQL as _SQL
 
 #: The conversation added to the table to show that control strings survive.
@@ -66,6 +66,18 @@ def op10_substring_dedup(spark, sf_dir):
     return substring_dedup.shared_passages(documents(spark, sf_dir))
 
 
+def op11_ngram_jaccard_join(spark, sf_dir):
+    return jaccard_join.linked(documents(spark, sf_dir))
+
+
+def op12_embedding_whitening(spark, sf_dir):
+    return whitening.whitened(table(spark, sf_dir, "embeddings", "vec_id", "embedding"))
+
+
+def op13_conversation_repair(spark, sf_dir):
+    return conversation_repair.damaged_and_repaired(table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text"))
+
+
 QUERIES = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
     "op2_source_mixing": op2_source_mixing,
@@ -77,6 +89,9 @@ QUERIES = {
     "op8_benchmark_decontamination": op8_benchmark_decontamination,
     "op9_license_scans": op9_license_scans,
     "op10_substring_dedup": op10_substring_dedup,
+    "op11_ngram_jaccard_join": op11_ngram_jaccard_join,
+    "op12_embedding_whitening": op12_embedding_whitening,
+    "op13_conversation_repair": op13_conversation_repair,
 }
 
 #: DuckDB SQL where it can express the query.
