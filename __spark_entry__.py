@@ -82,9 +82,9 @@ _TABLE_CTES = [
     ('Song',
      "select p_partkey SongID, p_name Title, p_size * 10 Duration, case when p_size % 9 <> 0 then date '2015-01-01' + p_size end ReleaseDate from part"),
     ('Song_Genre',
-     'select p_partkey Song_SongID, p_type Genre from part where p_size <= 40 union all select p_partkey, p_brand from part where p_size <= 25'),
+     'select p_partkey Song_SongID, p_type Genre from part union all select p_partkey, p_brand from part'),
     ('Contributor_Song',
-     'select l_suppkey Contributor_ContributorID, l_partkey Song_SongID, cast(min(l_shipdate) as date) "Date" from lineitem where l_returnflag = \'R\' and l_quantity > 45 group by 1, 2'),
+     'select l_suppkey Contributor_ContributorID, l_partkey Song_SongID, cast(min(l_shipdate) as date) "Date" from lineitem group by 1, 2'),
     ('Collaboration',
      "select o_orderkey CollaborationID, concat('Collab ', o_orderpriority, ' ', cast(o_orderkey as varchar(20))) CollaborationName, cast(o_orderdate as date) StartDate, case when o_orderstatus = 'F' then cast(o_orderdate as date) + 30 end EndDate, case when o_orderpriority <> '3-MEDIUM' then o_orderpriority end Description, s.k Song_SongID from orders left join (select l_orderkey, min(l_partkey) k from lineitem group by l_orderkey) s on s.l_orderkey = o_orderkey"),
     ('Collaboration_Contributor',
@@ -124,8 +124,10 @@ _HELPER_CTES = [
      'select Collaboration_CollaborationID i from RecordLabel_Collaboration where RecordLabel_RecordLabelID1 % 10 = 3 union select Collaboration_CollaborationID from RecordLabel_Collaboration where RecordLabel_RecordLabelID2 % 10 = 3'),
     ('DelContribCollabs',
      'select t.i from (select distinct Collaboration_CollaborationID i from Collaboration_Contributor where Contributor_ContributorID % 10 = 5) t left join (select * from Collaboration_Contributor where Contributor_ContributorID % 10 <> 5) r on r.Collaboration_CollaborationID=t.i group by t.i having count(r.Contributor_ContributorID) <= 1'),
-    ('DelContribSongs',
-     'select t.i from (select distinct Song_SongID i from Contributor_Song where Contributor_ContributorID % 10 = 5) t left join (select * from Contributor_Song where Contributor_ContributorID % 10 <> 5) r on r.Song_SongID=t.i group by t.i having count(r.Contributor_ContributorID) = 0'),
+    ('DelMostCollabs',
+     'select t.i from (select distinct Collaboration_CollaborationID i from Collaboration_Contributor where Contributor_ContributorID % 10 <> 5) t left join (select * from Collaboration_Contributor where Contributor_ContributorID % 10 = 5) r on r.Collaboration_CollaborationID=t.i group by t.i having count(r.Contributor_ContributorID) <= 1'),
+    ('DelMostSongs',
+     'select t.i from (select distinct Song_SongID i from Contributor_Song where Contributor_ContributorID % 10 <> 5) t left join (select * from Contributor_Song where Contributor_ContributorID % 10 = 5) r on r.Song_SongID=t.i group by t.i having count(r.Contributor_ContributorID) = 0'),
 ]
 
 _ORACLE_QUERIES = {
@@ -176,9 +178,9 @@ _ORACLE_QUERIES = {
     'collaboration_label_members':
         'select Collaboration_CollaborationID CollaborationID, RecordLabel_RecordLabelID1 LabelID from RecordLabel_Collaboration union select Collaboration_CollaborationID, RecordLabel_RecordLabelID2 from RecordLabel_Collaboration',
     'orphan_songs':
-        'select SongID from Song left join Contributor_Song on Song_SongID=SongID group by 1 having count(Contributor_ContributorID)=0',
+        'select SongID from Song left join (select * from Contributor_Song where Song_SongID % 30 <> 4) x on Song_SongID=SongID group by 1 having count(Contributor_ContributorID)=0',
     'orphan_songs_blocked':
-        'select SongID from Song s where not exists(select 1 from Contributor_Song x where x.Song_SongID=s.SongID) and exists(select 1 from Collaboration k where k.Song_SongID=s.SongID)',
+        'select SongID from Song s where (SongID % 30 = 4 or not exists(select 1 from Contributor_Song x where x.Song_SongID=s.SongID)) and exists(select 1 from Collaboration k where k.Song_SongID=s.SongID)',
     'underpopulated_collaborations':
         'select CollaborationID, count(Contributor_ContributorID) n from Collaboration left join Collaboration_Contributor on Collaboration_CollaborationID=CollaborationID group by 1 having count(Contributor_ContributorID) < 2',
     'underlabelled_collaborations':
@@ -194,7 +196,7 @@ _ORACLE_QUERIES = {
     'delete_contributors_collaborations':
         'select CollaborationID from Collaboration where CollaborationID not in (select i from DelContribCollabs d)',
     'delete_contributors_songs':
-        "select SongID, case when not exists(select 1 from DelContribSongs d where d.i=s.SongID) then 'kept' when exists(select 1 from Collaboration k where k.Song_SongID=s.SongID and k.CollaborationID not in (select i from DelContribCollabs e)) then 'blocked' else 'deleted' end Status from Song s",
+        "select SongID, case when not exists(select 1 from DelMostSongs d where d.i=s.SongID) then 'kept' when exists(select 1 from Collaboration k where k.Song_SongID=s.SongID and k.CollaborationID not in (select i from DelMostCollabs e)) then 'blocked' else 'deleted' end Status from Song s",
     'delete_contributors_persons':
         'select p.NIF from Person p where not (exists(select 1 from Contributor c where c.Person_NIF=p.NIF and c.ContributorID % 10 = 5) and not exists(select 1 from Employee e where e.Person_NIF=p.NIF))',
     'delete_employees_persons':
@@ -207,6 +209,8 @@ _ORACLE_QUERIES = {
         "select seq, t NIF, c.ContributorID from (select s_suppkey seq, trim(unnest(string_split(concat(concat('P', lpad(cast(s_suppkey as varchar(20)), cast(greatest(7, length(cast(s_suppkey as varchar(20)))) as int), '0')), ', ', concat('P', lpad(cast(s_suppkey + 7 as varchar(20)), cast(greatest(7, length(cast(s_suppkey + 7 as varchar(20)))) as int), '0')), ',X9'), ','))) t from supplier) u join Contributor c on c.Person_NIF=t",
     'request_validation':
         "select seq, case when Email is null or Email='' then 'Email' end Missing from Requests r",
+    'request_validation_strict':
+        "select seq, nullif(concat_ws(', ', case when Email is null or Email='' then 'Email' end, case when PhoneNumber is null or PhoneNumber='' then 'PhoneNumber' end), '') Missing from Requests r",
     'create_labels':
         "select RecordLabelID, Name from RecordLabel union all select cast((select max(RecordLabelID) from RecordLabel) + row_number() over (order by s_suppkey) as int), concat('Label ', s_name) from supplier where s_suppkey % 10 = 1",
     'create_songs':
@@ -248,7 +252,7 @@ _ORACLE_QUERIES = {
     'qc_unique_values':
         'select p_name v, count(*) n from part group by 1 having count(*) > 1',
     'qc_fk_song_genre':
-        'select g.Song_SongID, g.Genre from Song_Genre g where not exists(select 1 from Contributor_Song x where x.Song_SongID=g.Song_SongID)',
+        'select g.Song_SongID, g.Genre from Song_Genre g where not exists(select 1 from Song x where x.SongID=g.Song_SongID and x.SongID % 50 <> 7)',
     'qc_not_null':
         "select NIF, case when Email is null then 'Email' else 'PhoneNumber' end ColumnName from Person where Email is null union all select NIF, 'PhoneNumber' from Person where PhoneNumber is null",
     'qc_date_order':
@@ -277,4 +281,32 @@ _ORACLE_QUERIES = {
         'select * from VW5 v where ContributorID in (select s_suppkey from supplier where s_suppkey % 7 = 2)',
     'lookup_collaborations':
         'select * from VW6 v where CollaborationID in (select o_orderkey from orders where o_orderkey % 97 = 5)',
+    'rekey_chains':
+        "with m as (select * from (select c_custkey seq, concat('P', lpad(cast(c_custkey as varchar(20)), cast(greatest(7, length(cast(c_custkey as varchar(20)))) as int), '0')) old, case c_custkey % 9 when 0 then concat('P', lpad(cast((c_custkey + 1) as varchar(20)), cast(greatest(7, length(cast((c_custkey + 1) as varchar(20)))) as int), '0')) when 1 then concat('P', lpad(cast((c_custkey + 1) as varchar(20)), cast(greatest(7, length(cast((c_custkey + 1) as varchar(20)))) as int), '0')) when 2 then case when (c_custkey // 9) % 2 = 0 then concat('Q', lpad(cast(c_custkey as varchar(20)), cast(greatest(7, length(cast(c_custkey as varchar(20)))) as int), '0')) else concat('P', lpad(cast((c_custkey + 1) as varchar(20)), cast(greatest(7, length(cast((c_custkey + 1) as varchar(20)))) as int), '0')) end when 5 then concat('P', lpad(cast((c_custkey + 1) as varchar(20)), cast(greatest(7, length(cast((c_custkey + 1) as varchar(20)))) as int), '0')) when 6 then concat('P', lpad(cast((c_custkey - 1) as varchar(20)), cast(greatest(7, length(cast((c_custkey - 1) as varchar(20)))) as int), '0')) when 7 then concat('Z', lpad(cast(((c_custkey // 9) // 2) as varchar(20)), cast(greatest(7, length(cast(((c_custkey // 9) // 2) as varchar(20)))) as int), '0')) end new from customer) where new is not null qualify row_number() over (partition by new order by seq) = 1), bad as (with recursive e as (select old, new from m union select e.old, m.new from e join m on m.old = e.new) select distinct e.old from e join Person p on p.NIF = e.new where e.new not in (select old from m)) select p.NIF OldNIF, coalesce(m.new, p.NIF) NIF from Person p left join (select * from m where old not in (select old from bad)) m on m.old = p.NIF",
+    'create_labels_conflicts':
+        "with r as (select s_suppkey seq, s_suppkey // 5 g, s_suppkey % 5 p, (s_suppkey // 5) % 3 = 0 and exists(select 1 from nation where n_nationkey = (s_suppkey // 5) % 25) taken from supplier) select cast((select max(RecordLabelID) from RecordLabel) + row_number() over (order by seq) as int) RecordLabelID, concat('Name ', g, '-', p // 2) Name, concat(g, '-', (p + 1) // 2, '@mail.example') Email from r where case when taken then p in (1, 3) else p in (0, 2, 4) end",
+    'create_labels_conflicts_rejects':
+        "with r as (select s_suppkey seq, s_suppkey // 5 g, s_suppkey % 5 p, (s_suppkey // 5) % 3 = 0 and exists(select 1 from nation where n_nationkey = (s_suppkey // 5) % 25) taken from supplier) select seq, case when p = 0 then 'Name already exists' when taken then 'duplicate Email in batch' else 'duplicate Name in batch' end reason from r where case when taken then p not in (1, 3) else p not in (0, 2, 4) end",
+    'update_persons_emails':
+        "with m as (select c.c_custkey seq, concat('P', lpad(cast(c.c_custkey as varchar(20)), cast(greatest(7, length(cast(c.c_custkey as varchar(20)))) as int), '0')) NIF, case when c.c_custkey % 10 = 3 and (c.c_custkey // 10) % 2 = 1 then concat('fresh', c.c_custkey, '@example.com') else concat(lower(replace(x.c_name, '#', '.')), '@example.com') end new from customer c join customer x on x.c_custkey = c.c_custkey + 1 where c.c_custkey % 10 < 4), own as (select m.*, p.Email from m join Person p on p.NIF = m.NIF), bad as (with recursive e as (select NIF, new from own union select e.NIF, own.new from e join own on own.Email = e.new) select distinct e.NIF from e join Person p on p.Email = e.new where p.NIF not in (select NIF from own)) select p.NIF, case when own.NIF is null then p.Email else own.new end Email from Person p left join (select * from own where NIF not in (select NIF from bad)) own on own.NIF = p.NIF",
+    'employee_requests_refused':
+        "select * from (select seq, case when seq % 7 = 0 then 'Salary must not be negative' when seq % 11 = 0 then 'JobTitle longer than 100' when seq % 5 = 0 then 'RecordLabel not found' when Outcome = 'NEW' and exists(select 1 from Person p where concat('N', substr(p.NIF, 2)) = v.NIF and p.Email is not null) then 'Email already exists' end reason from EmpClass v where Outcome <> 'EXISTING' and not (Outcome = 'CONFLICT' and seq % 3 = 2)) r where reason is not null",
+    'update_contributors_keys':
+        "select c.ContributorID, case when ok then concat('Q', lpad(cast(c.ContributorID as varchar(20)), cast(greatest(7, length(cast(c.ContributorID as varchar(20)))) as int), '0')) else p.NIF end NIF, case when ok then concat('Renamed ', c.ContributorID) else p.Name end Name, ok or exists(select 1 from Producer r where r.Contributor_ContributorID = c.ContributorID) IsProducer from (select *, ContributorID % 8 = 1 ok from Contributor) c join Person p on p.NIF = c.Person_NIF",
+    'purge_after_updates':
+        'select \'Collaboration\' "table", CollaborationID id from Collaboration where CollaborationID % 40 = 6 union all select \'Song\', SongID from Song s where SongID % 30 = 4 and not exists(select 1 from Collaboration k where k.Song_SongID = s.SongID and k.CollaborationID % 40 <> 6)',
+    'song_catalog_refreshed':
+        "select SongID, Title, Duration, ReleaseDate, case when SongID % 30 = 4 then 'Live' else Genres end Genres, case when SongID % 30 = 4 then '' else Contributors end Contributors, CollaborationName from VW4 v",
+    'collaboration_catalog_refreshed':
+        "select CollaborationID, CollaborationName, StartDate, EndDate, Description, SongID, SongTitle, case when CollaborationID % 40 <> 6 then RecordLabels end RecordLabels, case when CollaborationID % 40 = 6 then (select string_agg(p.Name, ', ' order by p.Name) from Contributor c join Person p on p.NIF = c.Person_NIF where c.ContributorID in (0, 1, 2)) else Contributors end Contributors from VW6 v",
+    'published_employee_directory':
+        'select EmployeeID, NIF, Name, DateOfBirth, JobTitle, Department, case when EmployeeID % 10 = 0 then cast(Salary + 100 as decimal(10,2)) else Salary end Salary, HireDate, Email, PhoneNumber, RecordLabelID, RecordLabelName from VW3 v',
+    'song_title_trigrams':
+        "select * from Song where contains(lower(Title), 'ring')",
+    'contributor_list_trigrams':
+        "select distinct SongID from VW4 v where contains(lower(Contributors), '3, customer')",
+    'request_intake_rejects':
+        'select case when c_custkey % 10 in (3, 7) then null else c_custkey end seq, case when c_custkey % 10 in (3, 7) then \'malformed line\' else \'Missing required fields: Name\' end reason, case c_custkey % 10 when 3 then concat(\'{"seq": \', c_custkey, \', "NIF": "P\') when 7 then concat(\'{"seq": "no number", "NIF": "\', concat(\'P\', lpad(cast(c_custkey as varchar(20)), cast(greatest(7, length(cast(c_custkey as varchar(20)))) as int), \'0\')), \'"}\') end line from customer where c_custkey % 10 in (3, 7) or c_custkey % 6 = 0',
+    'contributors_sorted':
+        'select * from VW5 v',
 }

@@ -33,14 +33,14 @@ def empty_rejects(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([], REJECT_SCHEMA)
 
 
-def rejects(df: DataFrame, entity: str, key, reason, seq="seq") -> DataFrame:
-    """Reject rows in the common layout (entity, seq, key, reason)."""
+def rejects(df: DataFrame, entity: str, key, reason, seq="seq", extra=()) -> DataFrame:
+    """Reject rows in the common layout (entity, seq, key, reason), then the ``extra`` columns."""
     def col(c):
         return F.col(c) if isinstance(c, str) and c in df.columns else (
             c if not isinstance(c, str) else F.lit(c))
     seq_col = F.col(seq).cast("bigint") if seq in df.columns else F.lit(None).cast("bigint")
     return df.select(F.lit(entity).alias("entity"), seq_col.alias("seq"),
-                     col(key).cast("string").alias("key"), col(reason).cast("string").alias("reason"))
+                     col(key).cast("string").alias("key"), col(reason).cast("string").alias("reason"), *extra)
 
 
 def lazy_reports(**items) -> "Mapping[str, DataFrame]":

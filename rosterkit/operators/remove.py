@@ -5,8 +5,9 @@ semi or anti join against de-duplicated key sets (the map side drops
 repeated keys before the shuffle), so a parent with a huge share of
 children never moves more than one key row per task.  Foreign-key rules
 come from ``sources.schema``; cascades are followed in topological
-order in one pass (the FK graph is acyclic).  Purges run once over the
-final state of the job, not after each row.
+order in one pass (the FK graph is acyclic).  Purges run over the final
+state of a job, not after each row: as whole-table jobs, or
+(``purge_after``) from the parents a change touched.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.session import ensure_checkpoint_dir
 from ..sources.schema import FOREIGN_KEYS, TOPOLOGICAL_ORDER, foreign_keys_of, pk
 from . import deps
 from ..sources.lazy import LazyTables
@@ -331,3 +333,53 @@ def purge_unused_persons(t: Tables, nifs: DataFrame | None = None, nif_col: str
     unused = _unused_persons(t, cand).join(t["Person"].select("NIF"), "NIF", "left_semi")
     new_t, _, _ = delete_closure(t, {"Person": unused})
     return ChangeSet(new_t, empty_rejects(unused.sparkSession), {"purged": unused})
+
+
+def purge_after(t: Tables, collaborations: DataFrame | None = None, songs: DataFrame | None = None,
+                min_contributors: int = 2, min_labels: int = 2) -> ChangeSet:
+    """PG-1 … PG-3 run to their fixed point from the parents a change touched.
+
+    ``collaborations`` (CollaborationID) and ``songs`` (SongID) are the
+    parents whose links the change removed or replaced; no other parent is
+    judged, and link tables are read for these parents only.  A purged
+    collaboration frees its song, which is then judged as well; a purged
+    song frees nothing (a song that a collaboration uses is blocked), so
+    collaborations first, then songs is the fixed point that the rules reach
+    by firing on each other's deletes.  Reports: ``purged`` (table, id, rule)
+    and ``blocked`` songs.
+    """
+    spark = next(iter(x for x in (collaborations, songs) if x is not None)).sparkSession
+    empty = spark.createDataFrame([], "id long")
+    k = empty if collaborations is None else _ids(collaborations, "CollaborationID", "id")
+    k = t["Collaboration"].select(F.col("CollaborationID").alias("id"), "Song_SongID").join(k, "id", "left_semi")
+    keys = k.select("id")
+
+    def links_of(table: str) -> DataFrame:
+        return join_to_unique(t[table].withColumnRenamed("Collaboration_CollaborationID", "id"), keys, "id", "left_semi")
+
+    people = links_of("Collaboration_Contributor").groupBy("id").agg(F.count("Contributor_ContributorID").alias("_people"))
+    labels = links_of("RecordLabel_Collaboration").select("id", F.explode(F.array(
+        "RecordLabel_RecordLabelID1", "RecordLabel_RecordLabelID2")).alias("_l")).distinct().groupBy("id").agg(
+        F.count(F.lit(1)).alias("_labels"))
+    judged = k.join(people, "id", "left").join(labels, "id", "left").select(
+        "id", "Song_SongID", F.when(F.coalesce("_people", F.lit(0)) < min_contributors, "contributors")
+        .when(F.col("_labels") < min_labels, "labels").alias("rule"))
+    gone = judged.where("rule is not null")
+    ensure_checkpoint_dir(spark)
+    gone = gone.checkpoint(eager=True)  # read by the song rule, the closure and the report
+
+    freed = gone.where("Song_SongID is not null").select(F.col("Song_SongID").alias("SongID"))
+    touched = freed if songs is None else freed.unionByName(songs.select("SongID"))
+    touched = t["Song"].select("SongID").join(touched.distinct(), "SongID", "left_semi")
+    on_song = touched.withColumnRenamed("SongID", "Song_SongID")
+    linked = join_to_unique(t["Contributor_Song"].select("Song_SongID"), on_song, "Song_SongID", "left_semi").distinct()
+    users = join_to_unique(t["Collaboration"].select("Song_SongID", F.col("CollaborationID").alias("id")), on_song,
+                           "Song_SongID", "left_semi").join(gone.select("id"), "id", "left_anti").select("Song_SongID").distinct()
+    orphans = on_song.join(linked, "Song_SongID", "left_anti")
+    blocked = orphans.join(users, "Song_SongID", "left_semi").withColumnRenamed("Song_SongID", "SongID")
+    dead = orphans.join(users, "Song_SongID", "left_anti").withColumnRenamed("Song_SongID", "SongID")
+    new_t, _, _ = delete_closure(t, {"Collaboration": gone.select(F.col("id").alias("CollaborationID")), "Song": dead})
+    purged = gone.select(F.lit("Collaboration").alias("table"), "id", "rule").unionByName(
+        dead.select(F.lit("Song").alias("table"), F.col("SongID").alias("id"), F.lit("contributors").alias("rule")))
+    return ChangeSet(new_t, rejects(blocked, "Song", "SongID", "Song still used by a collaboration", seq="-"),
+                     {"purged": purged, "blocked": blocked})

@@ -145,6 +145,25 @@ def lookup(df: DataFrame, key: str, keys: DataFrame, keys_col: str | None = None
     return df.join(keys.select(F.col(kc).alias(key)).distinct(), key, "left_semi")
 
 
+def lookup_songs(t: Tables, keys: DataFrame, keys_col: str = "SongID") -> DataFrame:
+    """FLT-13 on VW-4: every table is reduced to the looked-up songs before the lists are rolled up."""
+    wanted = keys.select(F.col(keys_col).alias("SongID")).distinct()
+    songs = t["Song"].join(wanted, "SongID", "left_semi")
+    t = with_tables(t, Song=songs)
+    for table in ("Song_Genre", "Contributor_Song", "Collaboration"):
+        t = _restrict(t, table, wanted, "SongID", "Song_SongID")
+    return views.song_catalog(t)
+
+
+def lookup_collaborations(t: Tables, keys: DataFrame, keys_col: str = "CollaborationID") -> DataFrame:
+    """FLT-13 on VW-6: as ``lookup_songs``."""
+    wanted = keys.select(F.col(keys_col).alias("CollaborationID")).distinct()
+    t = with_tables(t, Collaboration=t["Collaboration"].join(wanted, "CollaborationID", "left_semi"))
+    for table in ("RecordLabel_Collaboration", "Collaboration_Contributor"):
+        t = _restrict(t, table, wanted, "CollaborationID", "Collaboration_CollaborationID")
+    return views.collaboration_catalog(t)
+
+
 def lookup_persons(t: Tables, nifs: DataFrame, nif_col: str = "NIF") -> DataFrame:
     """FLT-14: persons by NIF with their contributor id (NULL if none)."""
     p = lookup(t["Person"], "NIF", nifs, nif_col)

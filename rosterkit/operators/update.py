@@ -3,9 +3,11 @@
 An update batch overwrites whole rows: the target is left-joined to the
 accepted requests on its key and each column takes the request value
 when matched (NULL included, as the reference overwrites with NULL).
-Requests for unknown keys and repeated keys are rejected first.  Child
-lists are replaced by an anti join on the changed parents plus a union
-of the new child rows.
+Requests for unknown keys and repeated keys are rejected first, then those
+that would break a rule of the tables (``verdicts``): one verdict per
+request, made once, before any table version is built, so a refused request
+changes nothing at all.  Child lists are replaced by an anti join on the
+changed parents plus a union of the new child rows.
 """
 
 from __future__ import annotations
@@ -13,27 +15,55 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.session import ensure_checkpoint_dir
 from ..sources.schema import RULES, SCHEMAS
 from .changes import ChangeSet, empty_rejects, rejects, union_all, with_tables
-from .ingest import assign_roles, collaboration_children, collaboration_rejects, song_children
+from .ingest import (_EMPLOYMENT, LABEL_UNIQUE, PERSON_UNIQUE, assign_roles, collaboration_children, collaboration_verdicts,
+                     resolved_labels, same_columns, song_children, song_fault)
 from .joins import join_to_unique
+from .verdicts import claims_of, row_fault, screen_rows, settle, unknown_parents
 
 Tables = dict[str, DataFrame]
 
 
 def _screen(target: DataFrame, req: DataFrame, key: str, req_key: str, entity: str,
             not_found: str) -> tuple[DataFrame, DataFrame]:
-    """(accepted requests, rejects): repeated keys, then unknown keys."""
-    counts = req.groupBy(F.col(req_key).alias("_k")).agg(F.count(F.lit(1)).alias("_n"))
-    dup_keys = counts.where(F.col("_n") > 1).select(F.col("_k").alias(req_key))
-    dups = req.join(dup_keys, req_key, "left_semi")
-    single = req.join(dup_keys, req_key, "left_anti")
-    known_keys = target.select(F.col(key).alias(req_key)).distinct()
-    missing = single.join(known_keys, req_key, "left_anti")
-    accepted = single.join(known_keys, req_key, "left_semi")
-    rej = union_all([rejects(dups, entity, req_key, F.lit(f"duplicate {req_key} in batch")),
-                     rejects(missing, entity, req_key, F.lit(not_found))])
-    return accepted, rej
+    """(accepted requests, rejects): repeated keys, then unknown keys.
+
+    A key that a large share of the batch repeats is counted on the map
+    side and joined back over buckets (``joins.join_to_unique``).
+    """
+    counts = req.groupBy(req_key).agg(F.count(F.lit(1)).alias("_n"))
+    known = target.select(F.col(key).alias(req_key)).distinct().withColumn("_known", F.lit(True))
+    marks = counts.join(known, req_key, "left")
+    j = join_to_unique(req, marks, req_key, "left")
+    reason = F.when(F.col("_n") > 1, F.lit(f"duplicate {req_key} in batch")).when(
+        F.col("_known").isNull(), F.lit(not_found))
+    return (j.where(reason.isNull()).drop("_n", "_known"),
+            rejects(j.where(reason.isNotNull()), entity, req_key, reason))
+
+
+def _with_current(target: DataFrame, req: DataFrame, key: str, columns: list[str]) -> DataFrame:
+    """Requests with the row's present values as ``_now_<column>`` (one request per key here)."""
+    now = target.select(key, *[F.col(c).alias(f"_now_{c}") for c in columns])
+    return req.join(now, key)
+
+
+def _unique_settled(target: DataFrame, req: DataFrame, key: str, columns: dict[str, str], entity: str,
+                    reject_key: str) -> tuple[DataFrame, DataFrame]:
+    """(requests, rejects): unique values after the update, of the touched rows and values only.
+
+    ``req`` carries ``_now_<column>`` for each unique column of ``columns``
+    (table column to request column); a value given up by an accepted
+    request is free for the others.
+    """
+    order = "seq" if "seq" in req.columns else key
+    claims = claims_of(req, columns, {c: f"_now_{c}" for c in columns}, order)
+    owners = req.select(key, F.col(order).alias("seq"), *[
+        (F.col(f"_now_{c}").isNotNull() & ~F.col(f"_now_{c}").eqNullSafe(F.col(src))).alias(f"_gives_{c}")
+        for c, src in columns.items()])
+    kept, rej = settle(req, claims, target, key, list(columns), entity, reject_key, owners, order)
+    return kept.drop(*[f"_now_{c}" for c in columns]), rej
 
 
 def overwrite(target: DataFrame, accepted: DataFrame, key: str, columns: dict[str, str],
@@ -49,30 +79,29 @@ def overwrite(target: DataFrame, accepted: DataFrame, key: str, columns: dict[st
     return j.select(*out)
 
 
-def null_screen(accepted: DataFrame, table: str, columns: dict[str, str], entity: str,
-                req_key: str) -> tuple[DataFrame, DataFrame]:
-    """(requests, rejects): a NULL for a NOT NULL column of ``table`` refuses the request."""
-    needed = [columns[c] for c in RULES[table].not_null if c in columns]
-    if not needed:
-        return accepted, empty_rejects(accepted.sparkSession)
-    first = F.coalesce(*[F.when(F.col(c).isNull(), F.lit(f"{c} must not be NULL")) for c in needed])
-    return (accepted.where(first.isNull()),
-            rejects(accepted.where(first.isNotNull()), entity, req_key, first))
-
-
 # --------------------------------------------------------------------------- persons
 
 _PERSON = {"Name": "Name", "DateOfBirth": "DateOfBirth", "Email": "Email", "PhoneNumber": "PhoneNumber"}
 
 
 def update_persons(t: Tables, req: DataFrame, nif_col: str = "NIF") -> ChangeSet:
-    """UP-1: overwrite all four person fields (NULL too); a NULL Name is rejected."""
+    """UP-1: overwrite all four person fields (NULL too).
+
+    A NULL or over-long field and an e-mail or phone number that another
+    person keeps, or that an earlier request takes, refuse the request.
+    """
+    unique = {c: c for c in PERSON_UNIQUE if c in req.columns}
     req = req.select(*req.columns, *[F.lit(None).cast(SCHEMAS["Person"][c].dataType).alias(c)
                                      for c in _PERSON if c not in req.columns])
     accepted, rej = _screen(t["Person"], req, "NIF", nif_col, "person", "Person not found")
-    null_name = accepted.where(F.col("Name").isNull())
-    accepted = accepted.where(F.col("Name").isNotNull())
-    rej = rej.unionByName(rejects(null_name, "person", nif_col, F.lit("Name must not be NULL")))
+    accepted, faults = screen_rows(accepted, row_fault(accepted, "Person", _PERSON), "person", nif_col)
+    rej = rej.unionByName(faults)
+    if unique:
+        asked = _with_current(t["Person"], accepted if nif_col == "NIF" else accepted.withColumnRenamed(nif_col, "NIF"),
+                              "NIF", list(unique))
+        accepted, taken = _unique_settled(t["Person"], asked, "NIF", unique, "person", "NIF")
+        accepted = accepted if nif_col == "NIF" else accepted.withColumnRenamed("NIF", nif_col)
+        rej = rej.unionByName(taken)
     person = overwrite(t["Person"], accepted, "NIF", _PERSON, nif_col)
     return ChangeSet(with_tables(t, Person=person), rej, {"updated": accepted})
 
@@ -80,12 +109,17 @@ def update_persons(t: Tables, req: DataFrame, nif_col: str = "NIF") -> ChangeSet
 # --------------------------------------------------------------------------- labels
 
 def update_labels(t: Tables, req: DataFrame) -> ChangeSet:
-    """UP-2: overwrite every label field by RecordLabelID."""
+    """UP-2: overwrite every label field by RecordLabelID; rules and unique values as in UP-1."""
     accepted, rej = _screen(t["RecordLabel"], req, "RecordLabelID", "RecordLabelID", "label",
                             "RecordLabel not found")
     cols = {c: c for c in ("Name", "Location", "Website", "Email", "PhoneNumber") if c in req.columns}
-    accepted, nulls = null_screen(accepted, "RecordLabel", cols, "label", "RecordLabelID")
-    rej = rej.unionByName(nulls)
+    accepted, faults = screen_rows(accepted, row_fault(accepted, "RecordLabel", cols), "label", "RecordLabelID")
+    unique = {c: c for c in LABEL_UNIQUE if c in cols}
+    rej = rej.unionByName(faults)
+    if unique:
+        asked = _with_current(t["RecordLabel"], accepted, "RecordLabelID", list(unique))
+        accepted, taken = _unique_settled(t["RecordLabel"], asked, "RecordLabelID", unique, "label", "RecordLabelID")
+        rej = rej.unionByName(taken)
     return ChangeSet(with_tables(t, RecordLabel=overwrite(t["RecordLabel"], accepted,
                                                           "RecordLabelID", cols)), rej, {})
 
@@ -99,8 +133,8 @@ def update_songs(t: Tables, req: DataFrame, as_of=None) -> ChangeSet:
     """
     accepted, rej = _screen(t["Song"], req, "SongID", "SongID", "song", "Song not found")
     cols = {c: c for c in ("Title", "Duration", "ReleaseDate") if c in req.columns}
-    accepted, nulls = null_screen(accepted, "Song", cols, "song", "SongID")
-    rej = rej.unionByName(nulls)
+    accepted, faults = screen_rows(accepted, song_fault(accepted), "song", "SongID")
+    rej = rej.unionByName(faults)
     song = overwrite(t["Song"], accepted, "SongID", cols)
     changed = accepted.select(F.col("SongID").alias("Song_SongID")).distinct()
     genres, links, link_rej = song_children(t, accepted, as_of)
@@ -115,60 +149,95 @@ def update_songs(t: Tables, req: DataFrame, as_of=None) -> ChangeSet:
 
 # --------------------------------------------------------------------------- re-key
 
+NIF_LENGTH = RULES["Person"].max_length["NIF"]
+
+
+def _carry(t: Tables, moves: DataFrame) -> Tables:
+    """The tables after the accepted moves (OldNIF, NewNIF), one per person at most."""
+    mp = moves.select(F.col("OldNIF").alias("_old"), F.col("NewNIF").alias("_new"))
+
+    def carry(df: DataFrame, col: str) -> DataFrame:
+        j = df.join(mp, F.col(col) == F.col("_old"), "left")
+        return j.select(*[F.coalesce(F.col("_new"), F.col(c)).alias(c) if c == col else F.col(c)
+                          for c in df.columns])
+
+    return with_tables(t, Person=carry(t["Person"], "NIF"), Contributor=carry(t["Contributor"], "Person_NIF"),
+                       Employee=carry(t["Employee"], "Person_NIF"))
+
+
 def rekey_persons(t: Tables, mapping: DataFrame, old_col: str = "OldNIF",
                   new_col: str = "NewNIF") -> ChangeSet:
     """UP-6: change person keys and carry them to Contributor and Employee.
 
-    Rejected: unknown old keys, repeated old or new keys, and new keys
-    already held by a person that keeps its key.  ``reports['keys']``
-    maps every person's old NIF to its NIF after the job.
+    All accepted moves take effect at once, so chains and swaps work.
+    Refused are unknown and repeated old keys, over-long new keys, a new key
+    that an earlier request takes, and a new key whose holder keeps it: it
+    has no move, or its move is refused (followed to a fixed point by
+    ``verdicts.judge``; without a ``seq`` column requests go by old key).
+    ``reports['keys']`` maps every person's old NIF to its NIF after the job.
     """
     m = mapping.select(F.col(old_col).alias("OldNIF"), F.col(new_col).alias("NewNIF"),
                        *([F.col("seq")] if "seq" in mapping.columns else []))
     m = m.where(F.col("OldNIF") != F.col("NewNIF"))
     accepted, rej = _screen(t["Person"], m, "NIF", "OldNIF", "person", "Person not found")
-    new_counts = accepted.groupBy("NewNIF").agg(F.count(F.lit(1)).alias("_n"))
-    dup_new = accepted.join(new_counts.where(F.col("_n") > 1).select("NewNIF"), "NewNIF", "left_semi")
-    accepted = accepted.join(dup_new.select("OldNIF"), "OldNIF", "left_anti")
-    staying = t["Person"].select(F.col("NIF").alias("NewNIF")).join(
-        accepted.select(F.col("OldNIF").alias("NewNIF")), "NewNIF", "left_anti")
-    taken = accepted.join(staying, "NewNIF", "left_semi")
-    accepted = accepted.join(taken.select("OldNIF"), "OldNIF", "left_anti")
-    rej = union_all([rej, rejects(dup_new, "person", "NewNIF", F.lit("duplicate new NIF in batch")),
-                     rejects(taken, "person", "NewNIF", F.lit("NIF already in use"))])
+    accepted, faults = screen_rows(accepted, F.when(
+        F.length("NewNIF") > NIF_LENGTH, F.lit(f"NewNIF longer than {NIF_LENGTH}")), "person", "NewNIF")
+    order = "seq" if "seq" in accepted.columns else "OldNIF"
+    claims = claims_of(accepted, {"NIF": "NewNIF"}, seq=order)
+    owners = accepted.select(F.col("OldNIF").alias("NIF"), F.col(order).alias("seq"), F.lit(True).alias("_gives_NIF"))
+    accepted, taken = settle(accepted, claims, t["Person"], "NIF", ["NIF"], "person", "NewNIF", owners, order)
     mp = accepted.select(F.col("OldNIF").alias("_old"), F.col("NewNIF").alias("_new"))
-
-    def carry(df: DataFrame, col: str) -> DataFrame:
-        j = df.join(mp, F.col(col) == F.col("_old"), "left")
-        return j.select(*[F.coalesce(F.col("_new"), F.col(c)).alias(c) if c == col else F.col(c)
-                          for c in df.columns])
-
     keys = (t["Person"].select(F.col("NIF").alias("OldNIF"))
             .join(mp, F.col("OldNIF") == F.col("_old"), "left")
             .select("OldNIF", F.coalesce(F.col("_new"), F.col("OldNIF")).alias("NIF")))
-    new_t = with_tables(t, Person=carry(t["Person"], "NIF"),
-                        Contributor=carry(t["Contributor"], "Person_NIF"),
-                        Employee=carry(t["Employee"], "Person_NIF"))
-    return ChangeSet(new_t, rej, {"keys": keys})
+    return ChangeSet(_carry(t, accepted), union_all([rej, faults, taken]), {"keys": keys, "moved": accepted})
+
 
+def _person_part(t: Tables, req: DataFrame, target: str, id_col: str,
+                 entity: str) -> tuple[Tables, DataFrame, DataFrame]:
+    """(tables, requests, rejects): the person's row rules, its unique values and a new NIF in one verdict.
 
-def _person_part(t: Tables, req: DataFrame, target: str,
-                 id_col: str) -> tuple[Tables, DataFrame, DataFrame | None]:
-    """(tables, requests, rejects): re-key where the NIF differs, then update the persons."""
+    A refused request is left out of what is returned, so nothing of it is
+    written; then accepted keys are carried and the persons overwritten.
+    """
     fields = [c for c in _PERSON if c in req.columns]
-    rej = []
-    if "NIF" in req.columns:
-        cur = t[target].select(F.col(id_col), F.col("Person_NIF").alias("OldNIF"))
-        moves = req.join(cur, id_col).where(F.col("NIF").isNotNull() & (F.col("NIF") != F.col("OldNIF")))
-        rk = rekey_persons(t, moves.select("seq", "OldNIF", F.col("NIF").alias("NewNIF")))
-        t, rej = rk.tables, [rk.rejects]
+    rekey = "NIF" in req.columns
+    if not fields and not rekey:
+        return t, req, empty_rejects(req.sparkSession)
+    unique = {c: c for c in PERSON_UNIQUE if c in fields}
+    # a person's NIF as it is, joined once
+    now = t[target].select(id_col, F.col("Person_NIF").alias("_now_NIF"))
+    asked = req.join(now, id_col)
+    fault = F.lit(None).cast("string")
     if fields:
-        cur = t[target].select(F.col(id_col), F.col("Person_NIF").alias("NIF"))
-        preq = req.drop("NIF").join(cur, id_col).select("seq", "NIF", *fields)
-        up = update_persons(t, preq)
-        t = up.tables
-        rej.append(up.rejects)
-    return t, req, (union_all(rej) if rej else None)
+        asked = asked.select(*asked.columns, *[F.lit(None).cast(SCHEMAS["Person"][c].dataType).alias(c)
+                                               for c in _PERSON if c not in fields])
+        fault = row_fault(asked, "Person", _PERSON)
+    if rekey:
+        # a NULL NIF leaves the key as it is
+        asked = asked.withColumn("_nif", F.coalesce("NIF", "_now_NIF"))
+        fault = F.coalesce(fault, F.when(F.length("_nif") > NIF_LENGTH,
+                                         F.lit(f"NIF longer than {NIF_LENGTH}")))
+    asked, rej = screen_rows(asked, fault, entity, id_col)
+    slots = {**({"NIF": "_nif"} if rekey else {}), **unique}
+    if slots:
+        if unique:
+            asked = asked.join(t["Person"].select(F.col("NIF").alias("_now_NIF"), *[
+                F.col(c).alias(f"_now_{c}") for c in unique]), "_now_NIF")
+        claims = claims_of(asked, slots, {c: f"_now_{c}" for c in slots})
+        owners = asked.select(F.col("_now_NIF").alias("NIF"), "seq", *[
+            (F.col(f"_now_{c}").isNotNull() & ~F.col(f"_now_{c}").eqNullSafe(F.col(src))).alias(f"_gives_{c}")
+            for c, src in slots.items()])
+        asked, taken = settle(asked, claims, t["Person"], "NIF", list(slots), entity, id_col, owners)
+        rej = rej.unionByName(taken)
+        # read by every part of the change
+        ensure_checkpoint_dir(asked.sparkSession)
+        asked = asked.checkpoint(eager=True)
+    if fields:
+        t = with_tables(t, Person=overwrite(t["Person"], asked.select(F.col("_now_NIF").alias("NIF"), *_PERSON), "NIF", _PERSON))
+    if rekey:
+        t = _carry(t, asked.where("_nif <> _now_NIF").select(F.col("_now_NIF").alias("OldNIF"), F.col("_nif").alias("NewNIF")))
+    return t, asked.drop("_nif", "_now_NIF", *[f"_now_{c}" for c in unique]), rej
 
 
 # --------------------------------------------------------------------------- contributors
@@ -179,12 +248,13 @@ def update_contributors(t: Tables, req: DataFrame, reset_stage_name: bool = Fals
     Roles not in the new list are removed; an Artist row whose role stays
     keeps its stage name unless ``reset_stage_name``.  A NULL Roles value
     removes every role, as the reference does; without a Roles column the
-    roles stay.
+    roles stay.  A request refused for its key or its person changes
+    neither person nor roles.
     """
     accepted, rej = _screen(t["Contributor"], req, "ContributorID", "ContributorID", "contributor",
                             "Contributor not found")
-    t2, accepted, prej = _person_part(t, accepted, "Contributor", "ContributorID")
-    rej_all = [rej] + ([prej] if prej is not None else [])
+    t2, accepted, prej = _person_part(t, accepted, "Contributor", "ContributorID", "contributor")
+    rej_all = [rej, prej]
     if "Roles" in accepted.columns:
         with_roles = accepted.withColumn("Roles", F.coalesce("Roles", F.lit("")))
         roles, role_rej = assign_roles(t2, with_roles.select("seq", "ContributorID", "Roles"))
@@ -207,32 +277,25 @@ def update_contributors(t: Tables, req: DataFrame, reset_stage_name: bool = Fals
 
 # --------------------------------------------------------------------------- employees
 
-_EMPLOYMENT = {"JobTitle": "JobTitle", "Department": "Department", "Salary": "Salary",
-               "HireDate": "HireDate", "RecordLabel_RecordLabelID": "RecordLabelID"}
-
-
 def update_employees(t: Tables, req: DataFrame) -> ChangeSet:
     """UP-5: update the person, optionally re-key the NIF, overwrite employment fields.
 
-    A request naming an unknown label or a negative salary is rejected.
+    A request that names an unknown label, breaks a rule of the employment
+    columns (NULL, negative salary, length) or is refused for its key or its
+    person changes nothing.
     """
     accepted, rej = _screen(t["Employee"], req, "EmployeeID", "EmployeeID", "employee",
                             "Employee not found")
     rej_all = [rej]
-    if "RecordLabelID" in accepted.columns:
-        labels = t["RecordLabel"].select("RecordLabelID")
-        bad_label = accepted.where(F.col("RecordLabelID").isNotNull()).join(
-            labels, "RecordLabelID", "left_anti")
-        rej_all.append(rejects(bad_label, "employee", "EmployeeID", F.lit("RecordLabel not found")))
-        accepted = accepted.join(bad_label.select("EmployeeID"), "EmployeeID", "left_anti")
-    if "Salary" in accepted.columns:
-        neg = accepted.where(F.col("Salary") < 0)
-        rej_all.append(rejects(neg, "employee", "EmployeeID", F.lit("Salary must not be negative")))
-        accepted = accepted.where(~F.coalesce(F.col("Salary") < 0, F.lit(False)))
-    t2, accepted, prej = _person_part(t, accepted, "Employee", "EmployeeID")
-    if prej is not None:
-        rej_all.append(prej)
     cols = {dst: src for dst, src in _EMPLOYMENT.items() if src in accepted.columns}
+    accepted, faults = screen_rows(accepted, row_fault(accepted, "Employee", cols), "employee", "EmployeeID")
+    rej_all.append(faults)
+    if "RecordLabelID" in accepted.columns:
+        accepted, unknown = unknown_parents(accepted, t["RecordLabel"], "RecordLabelID", "RecordLabelID", "employee",
+                                            "EmployeeID", "RecordLabel not found")
+        rej_all.append(unknown)
+    t2, accepted, prej = _person_part(t, accepted, "Employee", "EmployeeID", "employee")
+    rej_all.append(prej)
     emp = overwrite(t2["Employee"], accepted, "EmployeeID", cols)
     return ChangeSet(with_tables(t2, Employee=emp), union_all(rej_all), {"updated": accepted})
 
@@ -242,30 +305,27 @@ def update_employees(t: Tables, req: DataFrame) -> ChangeSet:
 def update_collaborations(t: Tables, req: DataFrame) -> ChangeSet:
     """UP-7: overwrite collaborations and replace their label and contributor links.
 
-    Wrong dates, an unknown song, a NULL in a required column or a list of
-    fewer than two known labels reject the whole request.
+    Repeated and unknown keys, wrong dates, an unknown song, a NULL or
+    over-long value in a column with such a rule or a list of fewer than two
+    known labels reject the whole request.  The verdict is one narrow row
+    per request, written once; every table version reads it.
     """
-    accepted, rej = _screen(t["Collaboration"], req, "CollaborationID", "CollaborationID",
-                            "collaboration", "Collaboration not found")
-    bad_dates = accepted.where(F.col("EndDate") < F.col("StartDate")) if {
-        "StartDate", "EndDate"} <= set(accepted.columns) else None
-    rej_all = [rej]
-    if bad_dates is not None:
-        rej_all.append(rejects(bad_dates, "collaboration", "CollaborationID",
-                               F.lit("EndDate before StartDate")))
-        accepted = accepted.join(bad_dates.select("CollaborationID"), "CollaborationID", "left_anti")
+    labels = resolved_labels(t, req)
+    counts = req.groupBy("CollaborationID").agg(F.count(F.lit(1)).alias("_n"))
+    known = t["Collaboration"].select("CollaborationID", F.lit(True).alias("_known"))
+    asked = join_to_unique(req, counts.join(known, "CollaborationID", "left"), "CollaborationID", "left")
+    keyed = F.when(F.col("_n") > 1, F.lit("duplicate CollaborationID in batch")).when(
+        F.col("_known").isNull(), F.lit("Collaboration not found"))
+    verdict = collaboration_verdicts(t, asked, labels, keyed).checkpoint(eager=True)
+    refused = rejects(req.join(verdict.where("reason is not null"), "seq"), "collaboration", "CollaborationID", "reason")
+    accepted = req.join(verdict.where("reason is null").select("seq"), "seq", "left_semi")
     cols = {c: c for c in ("CollaborationName", "StartDate", "EndDate", "Description")
             if c in accepted.columns}
     if "SongID" in accepted.columns:
         cols["Song_SongID"] = "SongID"
-    accepted, nulls = null_screen(accepted, "Collaboration", cols, "collaboration", "CollaborationID")
-    broken = collaboration_rejects(t, accepted, "CollaborationID")
-    rej_all += [nulls, broken]
-    accepted = accepted.join(broken.select("seq").distinct(), "seq", "left_anti")
     k = overwrite(t["Collaboration"], accepted, "CollaborationID", cols)
-    changed = accepted.select(F.col("CollaborationID").alias("Collaboration_CollaborationID")).distinct()
-    label_links, contrib_links, child_rej = collaboration_children(t, accepted)
-    rej_all.append(child_rej)
+    changed = accepted.select(F.col("CollaborationID").alias("Collaboration_CollaborationID"))
+    label_links, contrib_links, child_rej = collaboration_children(t, accepted, labels)
     new_t = with_tables(
         t, Collaboration=k,
         RecordLabel_Collaboration=join_to_unique(
@@ -274,4 +334,4 @@ def update_collaborations(t: Tables, req: DataFrame) -> ChangeSet:
         Collaboration_Contributor=join_to_unique(
             t["Collaboration_Contributor"], changed, "Collaboration_CollaborationID", "left_anti")
         .unionByName(contrib_links))
-    return ChangeSet(new_t, union_all(rej_all), {"updated": accepted})
+    return ChangeSet(new_t, refused.unionByName(child_rej), {"updated": accepted})

@@ -183,3 +183,87 @@ def nif_lists(d: dict[str, DataFrame]) -> DataFrame:
 def ids_where(df: DataFrame, col: str, modulo: int, rest: int, out: str | None = None) -> DataFrame:
     """A delete or lookup key set: column ``out`` (``col``) of the rows with ``col % modulo == rest``."""
     return df.where(F.col(col) % modulo == rest).select(out or col)
+
+
+def nif_chains(d: dict[str, DataFrame]) -> DataFrame:
+    """seq, OldNIF, NewNIF: chains that end in a free or in a held key, swaps, keys asked for twice."""
+    ck = F.col("c_custkey")
+    r, block = ck % 9, F.floor(ck / 9)
+    new = (F.when(r < 2, nif_of(ck + 1))
+           .when(r == 2, F.when(block % 2 == 0, padded_key("Q", ck)).otherwise(nif_of(ck + 1)))
+           .when(r == 5, nif_of(ck + 1)).when(r == 6, nif_of(ck - 1))
+           .when(r == 7, padded_key("Z", F.floor(block / 2))))
+    return d["customer"].select(ck.alias("seq"), nif_of(ck).alias("OldNIF"), new.alias("NewNIF")).where("NewNIF is not null")
+
+
+def label_conflicts(d: dict[str, DataFrame]) -> DataFrame:
+    """Label requests in groups of five: neighbours share a name or an e-mail in turn.
+
+    In every third group the first request asks for a stored name.
+    """
+    s, n = d["supplier"], d["nation"]
+    sk = F.col("s_suppkey")
+    g, p = F.floor(sk / 5), sk % 5
+    stored = n.select(F.col("n_nationkey").alias("_n"), "n_name")
+    j = s.select(sk, g.alias("g"), p.alias("p")).join(stored, F.col("g") % 25 == F.col("_n"), "left")
+    part = F.concat(F.col("g").cast("string"), F.lit("-"))
+    return j.select(
+        F.col("s_suppkey").alias("seq"),
+        F.when((F.col("g") % 3 == 0) & (F.col("p") == 0) & F.col("n_name").isNotNull(), F.col("n_name")).otherwise(
+            F.concat(F.lit("Name "), part, F.floor(F.col("p") / 2).cast("string"))).alias("Name"),
+        F.lit(None).cast("string").alias("Location"), F.lit(None).cast("string").alias("Website"),
+        F.concat(part, F.floor((F.col("p") + 1) / 2).cast("string"), F.lit("@mail.example")).alias("Email"),
+        padded_key("+49-", F.col("s_suppkey"), 8).alias("PhoneNumber"))
+
+
+def email_moves(d: dict[str, DataFrame]) -> DataFrame:
+    """seq, NIF, Name, Email: of ten people the first four each ask for the next one's e-mail.
+
+    In every second ten the fourth asks for a new one, so all four move;
+    else the fifth keeps the e-mail, and who waits for it is refused.
+    """
+    c = d["customer"]
+    nxt = c.select((F.col("c_custkey") - 1).alias("_k"), F.concat(F.lower(F.replace(
+        "c_name", F.lit("#"), F.lit("."))), F.lit("@example.com")).alias("_next"))
+    ck = F.col("c_custkey")
+    j = c.where(ck % 10 < 4).join(nxt, ck == F.col("_k"))
+    fresh = F.concat(F.lit("fresh"), ck.cast("string"), F.lit("@example.com"))
+    return j.select(ck.alias("seq"), nif_of(ck).alias("NIF"), F.col("c_name").alias("Name"),
+                    F.when((ck % 10 == 3) & (F.floor(ck / 10) % 2 == 1), fresh).otherwise(F.col("_next")).alias("Email"))
+
+
+def faulty_employee_requests(d: dict[str, DataFrame], t: Tables) -> DataFrame:
+    """Employee requests of which some break a rule: salary, length, label, an e-mail already held."""
+    r = employee_requests(d)
+    held = t["Person"].select(F.concat(F.lit("N"), F.substring("NIF", 2, 1 << 20)).alias("NIF"), F.col("Email").alias("_held"))
+    j = r.join(held, "NIF", "left")
+    seq = F.col("seq")
+    swapped = {"Salary": F.when(seq % 7 == 0, F.lit(-5)).otherwise(F.col("Salary")).cast("decimal(10,2)"),
+               "JobTitle": F.when(seq % 11 == 0, F.repeat(F.lit("x"), F.lit(101))).otherwise(F.col("JobTitle")),
+               "RecordLabelID": F.when(seq % 5 == 0, F.lit(99999)).otherwise(F.col("RecordLabelID")),
+               "Email": F.coalesce("_held", "Email")}
+    return j.select(*[swapped[c].alias(c) if c in swapped else F.col(c) for c in r.columns])
+
+
+def contributor_key_updates(t: Tables) -> DataFrame:
+    """Contributor updates with a new NIF, free or held by a person who keeps it, a name and roles."""
+    cid = F.col("ContributorID")
+    return t["Contributor"].where(cid % 4 == 1).select(
+        cid.alias("seq"), cid.alias("ContributorID"),
+        F.when(cid % 8 == 1, padded_key("Q", cid)).otherwise(nif_of(cid + 1)).alias("NIF"),
+        F.concat(F.lit("Renamed "), cid.cast("string")).alias("Name"), F.lit("Producer").alias("Roles"))
+
+
+def thinned_collaborations(t: Tables) -> DataFrame:
+    """Collaboration updates that leave one contributor."""
+    return collaboration_updates(t).withColumn("Contributors", F.lit("P0000001"))
+
+
+def request_lines(d: dict[str, DataFrame]) -> DataFrame:
+    """Contributor requests as JSON lines; some are cut, some carry a text for a number."""
+    ck = F.col("c_custkey")
+    line = F.to_json(F.struct(ck.alias("seq"), nif_of(ck).alias("NIF"), F.when(ck % 6 != 0, F.col("c_name")).alias("Name"),
+                              F.lit("Artist").alias("Roles")))
+    cut = F.concat(F.lit('{"seq": '), ck.cast("string"), F.lit(', "NIF": "P'))
+    odd = F.concat(F.lit('{"seq": "no number", "NIF": "'), nif_of(ck), F.lit('"}'))
+    return d["customer"].select(F.when(ck % 10 == 3, cut).when(ck % 10 == 7, odd).otherwise(line).alias("value"))

@@ -3,19 +3,19 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.ingest import split_valid
-from ..sources.requests import REQUEST_SCHEMAS
+from ..sources.requests import parsed, split_parsed
 
 
 def request_stream(spark: SparkSession, path: str, entity: str,
                    max_files_per_trigger: int | None = None) -> DataFrame:
-    """A streaming DataFrame of requests read from new JSON files under ``path``."""
-    reader = spark.readStream.schema(REQUEST_SCHEMAS[entity])
+    """A streaming DataFrame of requests from new JSON-lines files under ``path``, with their file and malformed lines."""
+    reader = spark.readStream
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", str(max_files_per_trigger))
-    return reader.json(path)
+    return parsed(reader.text(path).select("value", F.col("_metadata.file_name").alias("file")), entity)
 
 
 def start_intake(spark: SparkSession, in_path: str, out_path: str, entity: str,
@@ -30,7 +30,7 @@ def start_intake(spark: SparkSession, in_path: str, out_path: str, entity: str,
     """
     def write_batch(batch: DataFrame, batch_id: int) -> None:
         batch = batch.persist()
-        good, bad = split_valid(batch, entity)
+        good, bad = split_parsed(batch, entity)
         good.write.mode("overwrite").parquet(f"{out_path}/accepted/batch={batch_id}")
         bad.write.mode("overwrite").parquet(f"{out_path}/rejects/batch={batch_id}")
         batch.unpersist()

@@ -9,7 +9,7 @@ from rosterkit.catalog import QUERIES
 SF = "/root/testdata/sf0.001"
 # Joins with a one-row side: five one-row counts side by side, and the
 # one-row current maximum id that new ids are added to.
-ONE_ROW_JOINS = {"dashboard_counts", "delete_labels_strict", "create_labels", "create_songs",
+ONE_ROW_JOINS = {"dashboard_counts", "create_labels_conflicts", "delete_labels_strict", "create_labels", "create_songs",
                  "create_songs_links", "attach_contributors", "create_collaborations_links",
                  "contributor_requests_classified", "employee_requests_classified"}
 
