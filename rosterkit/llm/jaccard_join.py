@@ -240,10 +240,23 @@ class _Join:
             "a", "b"), name)
 
     def parts(self, links: DataFrame, name: str) -> DataFrame:
-        """(gid, part, lead, members): each group by the components its members are in so far."""
-        closed = components(links, self.scratch, f"{name}-components")
+        """(gid, part, lead, members): each group by the parts of components its members are known to be in.
+
+        A part is named by a document its members reach in at most four
+        links: pairs inside one part need no check.  Whole components are
+        only made once, at the end.
+        """
+        both = links.select(F.col("a").alias("node"), F.col("b").alias("to")).union(
+            links.select(F.col("b").alias("node"), F.col("a").alias("to")))
+        near = self.scratch.keep(both.groupBy("node").agg(F.least(F.min("node"), F.min("to")).alias("part")), f"{name}-near")
+
+        def moved_on(by: DataFrame) -> DataFrame:
+            nxt = by.select(F.col("node").alias("part"), F.col("part").alias("further"))
+            return by.join(nxt, "part", "left").select("node", F.coalesce("further", "part").alias("part"))
+
+        closed = moved_on(self.scratch.keep(moved_on(near), f"{name}-moved"))
         self.placed = self.scratch.keep(self.member.join(closed, F.col("rep") == F.col("node"), "left").select(
-            "gid", "rep", F.coalesce("component", "rep").alias("part")), f"{name}-placed")
+            "gid", "rep", F.coalesce("part", "rep").alias("part")), f"{name}-placed")
         return self.scratch.keep(self.placed.groupBy("gid", "part").agg(
             F.min("rep").alias("lead"), F.count(F.lit(1)).alias("members")), f"{name}-parts")
 
