@@ -98,12 +98,14 @@ def scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     Labels count only from rows whose id's crc32 leaves another remainder
     than ``held``; null labels and ids don't count.  A null or empty text
     scores the bias alone; without labels of both classes every score is
-    0.5.  Columns other than id and text are not looked at.
+    0.5.  A repeated row is scored as often as it stands; an id with both
+    labels counts in both classes; an empty table gives no row.  Long texts
+    are scored whole; columns other than id and text are not looked at.
     """
     body = texts(docs, id_col, text_col)
     known = labels.select(F.col(id_col).cast("long").alias("_id"), F.col(label_col).cast("int").alias("_label")) \
         .where("_id is not null and _label in (0, 1)").where(remainder(F.col("_id"), modulus) != held)
-    model = trained(least_hashed(known.distinct(), max_train), body, features, BITS, fit)
+    model = trained(least_hashed(known, max_train), body, features, BITS, fit)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     out = body.mapInArrow(scored(features, BITS, shared), "_id long, score double")
     return out.select(F.col("_id").alias(id_col), (remainder(F.col("_id"), modulus) == held).alias("held_out"), "score",

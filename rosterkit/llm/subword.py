@@ -11,6 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .scratch import Scratch
 from .textops import prefix_hashes, row_slices
 
 #: (row of each feature, hash of each feature), in any order within a row
@@ -128,6 +129,13 @@ class Bags:
         out.bucket, out.value = self.bucket[mask], self.value[mask]
         return out
 
+    def rows(self, rows: np.ndarray) -> Bags:
+        """Some of the rows."""
+        out = copy.copy(self)
+        _, out.bucket, out.value = self.batch(rows)
+        out.label, out.at = self.label[rows], np.r_[0, np.cumsum(self.at[rows + 1] - self.at[rows])]
+        return out
+
     def batch(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(position in the batch, bucket, value) of the entries of some rows."""
         sizes = self.at[rows + 1] - self.at[rows]
@@ -142,8 +150,18 @@ def remainder(id_col: Column, modulus: int) -> Column:
 
 
 def least_hashed(ids: DataFrame, count: int) -> DataFrame:
-    """At most ``count`` rows of a narrow id table, those of the least id hashes."""
-    return ids.orderBy(F.xxhash64("_id"), *ids.columns).limit(count)
+    """At most ``count`` distinct rows of a narrow id table, those of the least id hashes.
+
+    The share of the hash range that holds them is known from the number of
+    ids (an estimate within a few percent, for which the share is wider), so
+    each task passes on its part of little more than ``count`` rows, at any
+    size of the table, and only those are sorted.
+    """
+    n = ids.agg(F.approx_count_distinct("_id", 0.02)).first()[0]
+    wanted = 1.2 * count + 10 * count ** 0.5 + 100
+    if n > wanted:
+        ids = ids.where(F.xxhash64("_id") <= int(-2**63 + 2**64 * (wanted / n)))
+    return ids.distinct().orderBy(F.xxhash64("_id"), *ids.columns).limit(count)
 
 
 def texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -155,10 +173,12 @@ def trained(sample: DataFrame, docs: DataFrame, features: Features, bits: int, f
     """Fit ``fit(Bags) -> (weights, bias)`` in one task on the documents of a bounded id sample.
 
     ``sample`` (_id, _label) is limited by its caller, so the join is a
-    broadcast of that many ids and one task holds that many bags.
+    broadcast of that many ids and one task holds that many bags.  The bags
+    are made by all tasks of the scan and written; the fitting task reads
+    them alone..
     """
-    bags = docs.join(F.broadcast(sample), "_id").mapInArrow(
-        counted(features, bits), "_id long, _label int, buckets array<int>, counts array<int>")
+    bags = Scratch(docs.sparkSession, "bags").keep(docs.join(F.broadcast(sample), "_id").mapInArrow(
+        counted(features, bits), "_id long, _label int, buckets array<int>, counts array<int>"), "bags")
 
     def one(batches):
         weights, bias = fit(Bags(list(batches), power))

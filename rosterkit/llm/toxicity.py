@@ -15,7 +15,10 @@ root of their number: its words and their first 4, 5 and 6 letters (inflected
 stems share those).  Only buckets that stand in clearly more positive than
 unlabelled texts (``SIGMAS`` standard errors; equal positives count once)
 have a weight.  Weights are trained by numpy SGD on a bounded sample, in one
-task; every text is scored whole.
+task; every text is scored whole.  Posteriors are cautious where positives
+are few, so the bias is set last: ``FOLDS`` fits on parts of the sample score
+the rest, and the logit with the most recall^2 / share of unlabelled texts
+taken is moved to the threshold.
 """
 
 from __future__ import annotations
@@ -34,7 +37,9 @@ POSITIVES, UNLABELLED = 512, 2000
 SLACK = 0.05
 RATE = 500.0
 BIAS_RATE = 1.0
-SIGMAS = 6.0
+SIGMAS = 4.0
+FOLDS = 4
+GAP = 0.5
 POWER = 0.5
 MAX_POSITIVE = 1500
 MAX_UNLABELLED = 6000
@@ -63,7 +68,41 @@ def telling(bags: Bags, size: int) -> np.ndarray:
     return in_pos - in_unl > SIGMAS * np.sqrt(in_unl * (1 - in_unl) / len(pos))
 
 
-def fit(bags: Bags, prior: float, seed: int = 11) -> tuple[np.ndarray, float]:
+def cut(pos: np.ndarray, unl: np.ndarray) -> float:
+    """The logit from which a text counts as positive: the most recall^2 / share of unlabelled texts.
+
+    Both are known without a negative label; the criterion is proportional to
+    precision times recall.  ``pos`` and ``unl`` are logits of texts that the
+    scorer was not trained on.  The cut is half way to the next logit below,
+    at most ``GAP`` below the least positive it takes in.
+    """
+    at = np.unique(pos)
+    recall = 1 - np.searchsorted(np.sort(pos), at) / len(pos)
+    taken = len(unl) - np.searchsorted(np.sort(unl), at)
+    best = at[int(np.argmax(recall ** 2 / (taken + 1)))]
+    both = np.concatenate([pos, unl])
+    below = both[both < best]
+    return float(best - min(GAP, (best - below.max()) / 2 if len(below) else 0.0))
+
+
+def fit(bags: Bags, prior: float, threshold: float = THRESHOLD, seed: int = 11) -> tuple[np.ndarray, float]:
+    """Bucket weights and bias; the bias puts the threshold where ``FOLDS`` fits on parts of the texts put the cut."""
+    pos, unl = np.flatnonzero(bags.label == 1), np.flatnonzero(bags.label == 0)
+    weight, bias = descent(bags, prior, seed)
+    if len(pos) < FOLDS or len(unl) < FOLDS:
+        return weight, bias
+    fold = np.zeros(len(bags.label), int)
+    fold[pos], fold[unl] = np.arange(len(pos)) % FOLDS, np.arange(len(unl)) % FOLDS
+    logit = np.zeros(len(fold))
+    for k in range(FOLDS):
+        part_weight, part_bias = descent(bags.rows(np.flatnonzero(fold != k)), prior, seed)
+        rows = np.flatnonzero(fold == k)
+        of, bucket, value = bags.batch(rows)
+        logit[rows] = np.bincount(of, value * part_weight[bucket], len(rows)) + part_bias
+    return weight, bias - cut(logit[pos], logit[unl]) + float(np.log(threshold / (1 - threshold)))
+
+
+def descent(bags: Bags, prior: float, seed: int) -> tuple[np.ndarray, float]:
     """Bucket weights and bias from positives (label 1) and unlabelled texts (label 0)."""
     size = 1 << BITS
     pos, unl = np.flatnonzero(bags.label == 1), np.flatnonzero(bags.label == 0)
@@ -102,18 +141,21 @@ def scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     than ``held``: the toxic ones are the positives, and the share of toxic
     rows among them is the class prior unless one is given.  Null ids and
     labels don't count; a null or empty text scores the bias alone; without
-    positives every score is 0.5.
+    positives every score is 0.5; with fewer than ``FOLDS`` the bias stays as
+    trained.  A repeated row is scored as often as it stands; an id with both
+    labels is a positive.  Long texts are scored whole; columns other than id
+    and text are not looked at; an empty table gives no row.
     """
     body = texts(docs, id_col, text_col)
     known = labels.select(F.col(id_col).cast("long").alias("_id"), F.col(label_col).cast("int").alias("_label")) \
-        .where("_id is not null and _label in (0, 1)").where(remainder(F.col("_id"), modulus) != held).distinct()
+        .where("_id is not null and _label in (0, 1)").where(remainder(F.col("_id"), modulus) != held)
     if prior is None:
-        prior = known.agg(F.avg("_label")).first()[0] or 0.0
+        prior = known.distinct().agg(F.avg("_label")).first()[0] or 0.0
     prior = min(max(prior, 1e-3), 0.9)
     positives = least_hashed(known.where("_label = 1"), max_positive)
-    unlabelled = least_hashed(body.select("_id").where("_id is not null").distinct(), max_unlabelled) \
+    unlabelled = least_hashed(body.select("_id").where("_id is not null"), max_unlabelled) \
         .select("_id", F.lit(0).alias("_label"))
-    model = trained(positives.union(unlabelled), body, features, BITS, lambda bags: fit(bags, prior), POWER)
+    model = trained(positives.union(unlabelled), body, features, BITS, lambda bags: fit(bags, prior, threshold), POWER)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     out = body.mapInArrow(scored(features, BITS, shared, POWER), "_id long, score double")
     return out.select(F.col("_id").alias(id_col), (remainder(F.col("_id"), modulus) == held).alias("held_out"), "score",
