@@ -13,15 +13,16 @@ consecutive ``g``-grams all occur in the items (a bitmap, then a sorted
 lookup, vectorised per batch) hold every possible match, and the automaton
 sees only those runs.
 
-The items go to the tasks in blocks of at most ``block_words`` words (one
-item at least), each block read from the items table, checked and
-broadcast by itself; documents pass all blocks in one stage, without a
-shuffle.  Each task builds a block's automaton once.
+The items go to the tasks in blocks of at most ``block_words`` words (a
+larger item is a block alone); ``item_blocks`` checks each while it streams
+the items table, and each is broadcast by itself.  Documents pass all blocks
+in one stage, without a shuffle.  Each task builds a block's automaton once.
 """
 
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +36,8 @@ from .textops import ALNUM, Words, gram_hashes, row_slices
 WINDOW = 10
 MAX_COVERAGE = 0.5
 BLOCK_WORDS = 50_000
+#: bytes of item text that count as a word in the size of a block
+WORD_BYTES = 64
 
 _BITS = 20
 
@@ -230,18 +233,31 @@ def _clean(texts: pa.Array, spans: pa.Array) -> pa.Array:
     return pa.array(clean, pa.string())
 
 
-def item_blocks(items: DataFrame, item_id: str, item_text: str, block_words: int) -> list[tuple[list, list]]:
-    """The items in blocks of about ``block_words`` words (a longer item is a block's only excess)."""
-    rows = items.select(F.col(item_id).cast("string").alias("i"), F.coalesce(item_text, F.lit("")).alias("t")) \
-        .where("i is not null").withColumn("n", F.expr("regexp_count(t, '[^\\\\x00-\\\\x2F\\\\x3A-\\\\x40\\\\x5B-\\\\x60\\\\x7B-\\\\x7F]+')"))
-    total = rows.agg(F.sum("n")).first()[0] or 0
-    n = max(1, -(-2 * total // block_words))
-    part = F.pmod(F.xxhash64("i"), F.lit(n))
-    out = []
-    for k in range(n):
-        block = [(r["i"], r["t"]) for r in rows.where(part == k).orderBy("i", "t").collect()]
-        out.append(([i for i, _ in block], [t for _, t in block]))
-    return out
+def item_blocks(items: DataFrame, item_id: str, item_text: str, block_words: int) -> Iterator[tuple[list, list]]:
+    """The items (ids, texts) in blocks of at most ``block_words`` words and ``block_words * WORD_BYTES`` bytes.
+
+    Only an item that is larger by itself makes a larger block, alone.  The
+    items come to the driver a partition at a time, and a partition is about
+    a block, so the driver holds some blocks' worth of items, however many
+    there are.  Items without words or id are left out, repeated rows are one;
+    there is one block at least.
+    """
+    rows = items.select(F.col(item_id).cast("string").alias("i"), F.col(item_text).cast("string").alias("t")).withColumn(
+        "n", F.expr("regexp_count(t, '[^\\\\x00-\\\\x2F\\\\x3A-\\\\x40\\\\x5B-\\\\x60\\\\x7B-\\\\x7F]+')")) \
+        .where("i is not null and n > 0").withColumn(
+            "size", F.greatest(F.col("n").cast("long"), F.ceil(F.octet_length("t") / WORD_BYTES)))
+    total = rows.agg(F.sum("size")).first()[0] or 0
+    parts = max(1, -(-total // block_words))
+    names, texts, size, given = [], [], 0, False
+    for r in rows.repartition(parts, "i", "t").dropDuplicates(["i", "t"]).sortWithinPartitions("i", "t").toLocalIterator():
+        if names and size + r["size"] > block_words:
+            yield names, texts
+            names, texts, size, given = [], [], 0, True
+        names.append(r["i"])
+        texts.append(r["t"])
+        size += r["size"]
+    if names or not given:
+        yield names, texts
 
 
 def annotate(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id: str = "item_id",
@@ -251,7 +267,9 @@ def annotate(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id:
     Positions are word positions, ranges end before ``b``; ``_clean`` is
     the text without the matched ranges (null: nothing matched).  Null and
     empty texts have no words; items without words or without an id match
-    nothing; a repeated item id counts once.
+    nothing; a repeated item id counts once.  A repeated document row is
+    searched as often as it stands, long texts whole; other columns pass
+    through whatever their names; an empty table gives no row.
     """
     spark = docs.sparkSession
     text = f"_c{docs.columns.index(text_col)}"
@@ -259,8 +277,10 @@ def annotate(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id:
     df = df.withColumns({"_n_words": F.lit(0).cast("long"), "_items": F.expr("cast(array() as array<string>)"),
                          "_spans": F.expr("cast(array() as array<struct<a:bigint,b:bigint>>)")})
     blocks = item_blocks(items, item_id, item_text, block_words)
-    for k, (names, texts) in enumerate(blocks):
-        last = k == len(blocks) - 1
+    following = next(blocks)
+    while following is not None:
+        (names, texts), following = following, next(blocks, None)
+        last = following is None
         block = spark.sparkContext.broadcast((names, texts, uuid.uuid4().hex))
         schema = StructType(df.schema.fields + [StructField("_clean", StringType())] * last)
         df = df.mapInArrow(_pass(block, window, text, last), schema)

@@ -135,6 +135,33 @@ def test_decontamination_matches_brute_force(spark, make, block_words):
     assert got[100]["n_words"] == 0 and got[100]["n_hit"] == 0
 
 
+def test_item_blocks_keep_their_bounds(spark):
+    rng = random.Random(2)
+    items = [(i, " ".join(rng.choices("abc", k=rng.choice([0, 1, 7, 19, 45])))) for i in range(200)]
+    items += [items[3], (None, "a b"), (300, None), (301, "z" * 20 * dc.WORD_BYTES), (302, "z" * 99 * dc.WORD_BYTES)]
+    table = spark.createDataFrame(items, "item_id int, text string").repartition(3)
+    blocks = list(dc.item_blocks(table, "item_id", "text", 40))
+    got = [(i, t) for names, texts in blocks for i, t in zip(names, texts, strict=True)]
+    assert sorted(got) == sorted({(str(i), t) for i, t in items if i is not None and t})
+    for _, texts in blocks:
+        size = sum(max(len(t.split()), -(-len(t) // dc.WORD_BYTES)) for t in texts)
+        assert len(texts) == 1 or size <= 40
+    assert list(dc.item_blocks(table.where("false"), "item_id", "text", 40)) == [([], [])]
+
+
+def test_decontamination_odd_rows(spark, make):
+    """Repeated rows, a very long text and columns of the operator's own names."""
+    leak = "one two three four five six seven eight nine ten"
+    docs = make([(1, leak), (1, leak), (2, "w " * 300_000 + leak), (None, leak)]).withColumns(
+        {"_spans": F.lit("x"), "items": F.lit(7), "n_hit": F.lit(None).cast("int")})
+    items = spark.createDataFrame([(1, leak), (1, leak)], "item_id int, text string")
+    rows = sorted(((r["doc_id"] or 0, r["n_words"], r["n_hit"], r["items"]) for r in dc.scan(docs, items).collect()))
+    assert rows == [(0, 10, 10, ["1"]), (1, 10, 10, ["1"]), (1, 10, 10, ["1"]), (2, 300_010, 10, ["1"])]
+    left = dc.decontaminated(docs, items)
+    assert left.columns == docs.columns
+    assert [(r["doc_id"], r["_spans"], r["items"], len(r["text"])) for r in left.collect()] == [(2, "x", 7, 600_000)]
+
+
 def test_decontaminated_rows(spark, make, docs_schema):
     leak = "one two three four five six seven eight nine ten eleven"
     items = spark.createDataFrame([(1, leak)], "item_id int, text string")
