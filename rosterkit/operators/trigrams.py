@@ -5,17 +5,23 @@ rows that hold it.  A term of three characters or more is in a text only if
 all its runs are, so the search reads the posting lists of the term's runs,
 keeps the rows that are in all of them and checks only those texts.  Shorter
 terms have no run and scan.  Stored sorted by run, the lists of a term are a
-few row groups of the index, whatever its size.
+few row groups of the index, whatever its size.  A posting list is stored in
+blocks, one per batch of rows, so what is made, dealt out and sorted is one row
+per run and batch, not one per run and text.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import contains_ci
 
 GRAM = 3
+BLOCK_BYTES = 1 << 22
 
 
 def grams_of(term: str) -> list[str]:
@@ -24,21 +30,76 @@ def grams_of(term: str) -> list[str]:
     return sorted({low[i:i + GRAM] for i in range(len(low) - GRAM + 1)})
 
 
+def _block_maker():
+    """(key, lower-cased text) -> (gram, keys): the rows of a batch that hold each run, each row once.
+
+    A function of its own for each job, so that Spark ships it whole.
+    """
+    def run(batches):
+        for whole in batches:
+            size = pc.binary_length(whole.column(1).cast(pa.binary())).to_numpy(zero_copy_only=False)
+            # so many bytes at once that the sort below stays small; a longer text is taken alone
+            part = np.cumsum(size) // BLOCK_BYTES
+            cuts = np.r_[0, np.flatnonzero(np.diff(part)) + 1, len(size)]
+            for start, end in zip(cuts[:-1], cuts[1:], strict=True):
+                if start == end:
+                    continue  # a batch of no rows
+                batch = whole.slice(start, end - start)
+                texts = [t.decode("utf-8", "replace") for t in batch.column(1).cast(pa.binary()).to_pylist()]
+                chars = np.frombuffer("".join(texts).encode("utf-32-le"), "<u4").astype(np.int64)
+                row = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
+                at = np.flatnonzero(row[:-(GRAM - 1)] == row[GRAM - 1:])
+                grams, row = chars[at] << 42 | chars[at + 1] << 21 | chars[at + 2], row[at]
+                if not len(grams):
+                    continue
+                order = np.lexsort((row, grams))
+                grams, row = grams[order], row[order]
+                new = np.ones(len(grams), bool)
+                new[1:] = (grams[1:] != grams[:-1]) | (row[1:] != row[:-1])
+                grams, row = grams[new], row[new]
+                first = np.flatnonzero(np.r_[True, grams[1:] != grams[:-1]])
+                value = grams[first]
+                codes = np.stack([value >> 42, value >> 21 & (1 << 21) - 1, value & (1 << 21) - 1], axis=1)
+                joined = codes.astype("<u4").tobytes().decode("utf-32-le")
+                names = [joined[i:i + GRAM] for i in range(0, len(joined), GRAM)]
+                offsets = pa.array(np.r_[first, len(grams)].astype(np.int32))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(names, pa.string()), pa.ListArray.from_arrays(offsets, batch.column(0).take(pa.array(row)))],
+                    names=["gram", "keys"])
+    return run
+
+
+def blocks(df: DataFrame, key: str, text: str) -> DataFrame:
+    """(gram, keys): posting lists in blocks, one per run and batch of rows; NULL and shorter texts have none."""
+    low = F.lower(F.col(text))
+    kind = df.schema[key].dataType.simpleString()
+    return df.where(F.length(low) >= GRAM).select(key, low.alias("_low")).mapInArrow(
+        _block_maker(), f"gram string, keys array<{kind}>")
+
+
+def _rows(found: DataFrame, key: str) -> DataFrame:
+    # no block is empty; the outer form adds no filter on the lists to the scan
+    return found.select("gram", F.explode_outer("keys").alias(key))
+
+
 def postings(df: DataFrame, key: str, text: str) -> DataFrame:
     """(gram, key): each run of each text once per row key; NULL and shorter texts have none."""
-    low = F.lower(F.col(text))
-    # the characters beside themselves moved by one and by two: linear in the length of a text
-    chars = F.filter(F.split(low, ""), lambda c: c != "")
-    runs = F.transform(F.arrays_zip(*[F.slice(chars, i + 1, F.length(low) - (GRAM - 1)).alias(f"c{i}") for i in range(GRAM)]),
-                       lambda z: F.concat(*[z[f"c{i}"] for i in range(GRAM)]))
-    return df.where(F.length(low) >= GRAM).select(F.explode(F.array_distinct(runs)).alias("gram"), key)
+    return _rows(blocks(df, key, text), key)
 
 
 def write_postings(df: DataFrame, key: str, text: str, path: str) -> DataFrame:
-    """Write the index sorted by run (range-partitioned, so a frequent run spans files), and read it back."""
-    found = postings(df, key, text)
-    found.repartitionByRange("gram", key).sortWithinPartitions("gram", key).write.parquet(path)
-    return df.sparkSession.read.schema(found.schema).parquet(path)
+    """Write the index sorted by run (range-partitioned, so a frequent run spans files), and read it back as (gram, key).
+
+    The blocks are written as they are made, under ``path`` as well: the
+    range partitioning reads its input twice, to sample it and to deal it
+    out, and must not make the lists twice.
+    """
+    spark = df.sparkSession
+    made = blocks(df, key, text)
+    made.write.parquet(f"{path}/made")
+    found = spark.read.schema(made.schema).parquet(f"{path}/made")
+    found.repartitionByRange("gram", F.col("keys")[0]).sortWithinPartitions("gram").write.parquet(f"{path}/sorted")
+    return _rows(spark.read.schema(made.schema).parquet(f"{path}/sorted"), key)
 
 
 def candidates(index: DataFrame, key: str, term: str) -> DataFrame:

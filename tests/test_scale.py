@@ -1,5 +1,11 @@
 """What keeps one task, or one job, small: rows per task, posting lists in blocks, tables read as stored."""
 
+import tempfile
+
+import __spark_entry__ as entry
+from pyspark.sql import functions as F
+
+from rosterkit.operators import trigrams
 from rosterkit.sources import star
 
 SF = "/root/testdata/sf0.001"
@@ -32,3 +38,24 @@ def test_label_links_of_repeated_and_null_keys(spark, tmp_path):
             for s, n2 in made["supplier"][0] if s is not None and s == ls}
     got = [tuple(r) for r in star.star_tables(spark, str(tmp_path), fresh=True)["RLC_raw"].collect()]
     assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_posting_lists_are_made_in_blocks(spark, monkeypatch):
+    texts = [f"Customer {i % 7}, Customer {i}" for i in range(300)] + ["é\U0001f600 ü\0x", "ab", None, "İStanbul" * 3]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, text string").coalesce(1)
+    low = {r[0]: r[1] for r in df.select("id", F.lower("text")).collect() if r[1] is not None}
+    want = sorted({(x[i:i + 3], k) for k, x in low.items() for i in range(len(x) - 2)})
+    assert sorted(map(tuple, trigrams.postings(df, "id", "text").collect())) == want
+    made = trigrams.blocks(df, "id", "text")
+    assert made.count() == len({g for g, _ in want})  # one batch: one row per run
+    # a batch of many bytes is cut, and loses nothing
+    monkeypatch.setattr(trigrams, "BLOCK_BYTES", 100)
+    assert sorted(map(tuple, trigrams.postings(df, "id", "text").collect())) == want
+    assert trigrams.blocks(df, "id", "text").count() > made.count()
+    index = trigrams.write_postings(df, "id", "text", tempfile.mkdtemp(prefix="rk-tri-", dir="/tmp") + "/i")
+    assert sorted(map(tuple, index.collect())) == want
+
+
+def test_trigram_search_reads_the_stored_lists(spark):
+    read = entry.queries()["contributor_list_trigrams"](spark, SF).inputFiles()
+    assert read and not any("lineitem.parquet" in f for f in read)
