@@ -56,6 +56,12 @@ def test_posting_lists_are_made_in_blocks(spark, monkeypatch):
     assert sorted(map(tuple, index.collect())) == want
 
 
+def test_what_follows_a_change_reads_stored_tables(spark):
+    for key in ("purge_after_updates", "collaboration_catalog_refreshed"):
+        read = entry.queries()[key](spark, SF).inputFiles()
+        assert not any("lineitem.parquet" in f for f in read), key
+
+
 def test_trigram_search_reads_the_stored_lists(spark):
     read = entry.queries()["contributor_list_trigrams"](spark, SF).inputFiles()
     assert read and not any("lineitem.parquet" in f for f in read)
