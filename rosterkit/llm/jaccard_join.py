@@ -72,7 +72,7 @@ def shingle_sets(column: pa.Array, words: int) -> tuple[np.ndarray, np.ndarray]:
     return row[new], value[new]
 
 
-def _bucket(value: np.ndarray) -> np.ndarray:
+def bucket_of(value: np.ndarray) -> np.ndarray:
     return (mix(value ^ _SALT) >> np.uint64(64 - (BUCKETS - 1).bit_length())).astype(np.int64)
 
 
@@ -83,7 +83,7 @@ def _count_rows(words: int):
         for whole in batches:
             for batch in row_slices(whole, "_text"):
                 _, value = shingle_sets(batch.column("_text"), words)
-                total += np.bincount(_bucket(value), minlength=BUCKETS)
+                total += np.bincount(bucket_of(value), minlength=BUCKETS)
         step = BUCKETS // SLICES
         at = [np.flatnonzero(total[k * step:(k + 1) * step]) + k * step for k in range(SLICES)]
         ints, longs = pa.list_(pa.int32()), pa.list_(pa.int64())
@@ -138,7 +138,7 @@ def _features(words: int, percent: int, rank: np.ndarray):
                 np.add.at(bits.reshape(-1), row * BITS + (value & np.uint64(BITS - 1)).astype(np.int64), 1)
                 packed = np.packbits(bits & 1, axis=1).view(np.int64)
                 # sorted by row and hash already: a stable sort by count keeps hashes in order
-                order = np.lexsort((rank[_bucket(value)], row))
+                order = np.lexsort((rank[bucket_of(value)], row))
                 place = np.arange(len(row)) - begin[row]
                 first = place < prefix_length(size, percent)[row]
                 prefix, owner, place = value[order][first], row[first], place[first]
