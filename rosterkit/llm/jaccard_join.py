@@ -47,6 +47,8 @@ BITS = 1024
 _SALT = np.uint64(0x2545F4914F6CDD1D)
 _FOLD = np.uint64(0x9E3779B97F4A7C15)
 LONGS = [f"_b{k}" for k in range(BITS // 64)]
+#: the same bitmap of a quarter of the bits, for joins of many rows
+FOLDED = LONGS[:len(LONGS) // 4]
 
 
 # --------------------------------------------------------------------------- sets
@@ -180,9 +182,15 @@ def _places_fit(x: str, y: str, percent: int) -> Column:
     return F.lit(100 + percent) * most >= F.lit(percent) * (a + b)
 
 
-def _bits_fit(x: str, y: str, percent: int) -> Column:
+def _folded() -> list[Column]:
+    """The bitmap by fewer bits of the hash: shingles of several old bits in one new bit, again by parity."""
+    return [reduce(lambda m, n: m.bitwiseXOR(n), [F.col(c) for c in LONGS[k::len(FOLDED)]]).alias(b)
+            for k, b in enumerate(FOLDED)]
+
+
+def _bits_fit(x: str, y: str, percent: int, longs: list[str] = LONGS) -> Column:
     """Different bits of the parity bitmaps are at most the different shingles."""
-    apart = reduce(lambda m, n: m + n, [F.bit_count(F.col(f"{x}.{b}").bitwiseXOR(F.col(f"{y}.{b}"))) for b in LONGS])
+    apart = reduce(lambda m, n: m + n, [F.bit_count(F.col(f"{x}.{b}").bitwiseXOR(F.col(f"{y}.{b}"))) for b in longs])
     return F.lit(100 + percent) * apart <= F.lit(100 - percent) * (F.col(f"{x}.size") + F.col(f"{y}.size"))
 
 
@@ -212,9 +220,10 @@ class _Join:
         own = lead.where("members > 1").select(F.xxhash64("size", "_same").alias("token"), F.col("_id").alias("gid"), "size",
                                                F.lit(0).alias("pos"), F.lit(2).alias("n"))
         postings = scratch.keep(postings.unionByName(own), "postings")
-        shared = scratch.keep(postings.groupBy("token").agg(
-            F.min(F.struct("gid", "size", "pos")).alias("hub"), F.sum("n").alias("n")).where("n > 1").drop("n"), "shared")
+        # most shingles are in one list entry only: counted first, in rows of two numbers
+        shared = scratch.keep(postings.groupBy("token").agg(F.sum("n").alias("n")).where("n > 1").drop("n"), "shared")
         self.lists = scratch.keep(postings.drop("n").join(shared, "token"), "lists")
+        self.hubs = scratch.keep(self.lists.groupBy("token").agg(F.min(F.struct("gid", "size", "pos")).alias("hub")), "hubs")
         self.member = self.classes.join(self.groups.select("size", "_same", "gid"), ["size", "_same"]).select("gid", "rep")
         wanted = self.lists.select("gid").distinct()
         self.member = scratch.keep(self.member.join(wanted, "gid", "left_semi"), "member")
@@ -262,7 +271,7 @@ class _Join:
 
     def mixed(self, parts: DataFrame, name: str, *more: Column) -> tuple[DataFrame, DataFrame]:
         """The entries of lists whose members are in several components, and one row per such list."""
-        entries = self.lists.drop("hub").join(parts, "gid")
+        entries = self.lists.join(parts, "gid")
         several = self.scratch.keep(entries.groupBy("token").agg(
             F.min("part").alias("_low"), F.max("part").alias("_high"), *more).where("_low < _high").drop("_low", "_high"),
             f"{name}-mixed")
@@ -286,7 +295,7 @@ def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", word
     j = _Join(texts, words, percent, scratch)
 
     # every group with the list's least group, and its own classes with their least
-    hubs = j.lists.select(F.struct("gid", "size", "pos").alias("x"), F.col("hub").alias("y")).where("x.gid <> y.gid") \
+    hubs = j.lists.join(j.hubs, "token").select(F.struct("gid", "size", "pos").alias("x"), F.col("hub").alias("y")).where("x.gid <> y.gid") \
         .where(_sizes_fit("x", "y", percent) & _places_fit("x", "y", percent)).select(
             F.col("y.gid").alias("a"), F.col("x.gid").alias("b"))
     inside = j.member.where("gid <> rep").select(F.col("gid").alias("a"), F.col("rep").alias("b"))
@@ -303,12 +312,12 @@ def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", word
     # what is left: groups of one list with members in different components
     parts = j.parts(links, "two")
     entries, several = j.mixed(parts, "two")
-    rest = entries.join(several, "token").join(j.bitmaps.drop("size").withColumnRenamed("_id", "lead"), "lead")
+    rest = entries.join(several, "token").join(j.bitmaps.select(F.col("_id").alias("lead"), *_folded()), "lead")
     rest = scratch.keep(rest, "rest")
     alone = (F.col("x.members") == 1) & (F.col("y.members") == 1)
     pairs = rest.alias("x").join(rest.alias("y"), (F.col("x.token") == F.col("y.token")) & (F.col("x.part") < F.col("y.part"))
                                  & _sizes_fit("x", "y", percent) & _places_fit("x", "y", percent)
-                                 & (~alone | _bits_fit("x", "y", percent))).select(
+                                 & (~alone | _bits_fit("x", "y", percent, FOLDED))).select(
         F.col("x.gid").alias("gx"), F.col("x.part").alias("px"), F.col("y.gid").alias("gy"), F.col("y.part").alias("py"))
     pairs = scratch.keep(pairs.distinct(), "group-pairs")
     expanded = pairs.join(j.placed.select(F.col("gid").alias("gx"), F.col("part").alias("px"), F.col("rep").alias("a")),

@@ -7,6 +7,7 @@ import pyarrow as pa
 import pytest
 
 from rosterkit.llm import jaccard_join as jj
+from rosterkit.llm.scratch import Scratch
 from test_near_dedup import brute
 
 
@@ -86,3 +87,25 @@ def test_odd_rows(spark, make):
     got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in jj.linked(docs).collect()), key=str)
     assert got == sorted([(None, 2, None), (5, 2, 5), (5, 2, 5), (6, 2, 5), (7, 7000, 7), (8, 7001, 7), (9, 0, 9), (9, 0, 9)],
                          key=str)
+
+
+def test_lists_carry_folded_bitmaps(spark, make):
+    """Rows of the last join hold a quarter of the bits, and these are parities of fewer bits of the hash."""
+    columns = {}
+
+    class Seen(Scratch):
+        def keep(self, df, name):
+            columns[name] = df.columns
+            return super().keep(df, name)
+
+    rng = random.Random(9)
+    words = [rng.choice([f"w{i}" for i in range(50)]) for _ in range(120)]
+    texts = make([" ".join(words), " ".join(words[:-1] + ["z"]), "a b c d"])
+    assert components(jj.linked(texts, scratch=Seen(spark, "seen")))[1][1] == 0
+    assert [c for c in columns["rest"] if c in jj.LONGS] == jj.FOLDED and len(jj.FOLDED) * 64 * 4 == jj.BITS
+
+    value = np.array([rng.randrange(2**63) for _ in range(400)], np.uint64)
+    whole, less = (np.bincount((value & np.uint64(n - 1)).astype(int), minlength=n).astype(np.uint8) & 1
+                   for n in (jj.BITS, jj.BITS // 4))
+    row = spark.createDataFrame([[int(x) for x in np.packbits(whole).view(np.int64)]], jj.LONGS).select(*jj._folded()).first()
+    assert list(row) == np.packbits(less).view(np.int64).tolist()
